@@ -225,12 +225,12 @@ def op10_fingerprint_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 win AS (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) AS h FROM d, LATERAL (SELECT unnest(range(0, len(w) - 49)) AS i)),
 first AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
 cov AS (SELECT DISTINCT doc_id, i + j AS pos FROM win JOIN first USING (h), LATERAL (SELECT unnest(range(0, 50)) AS j) WHERE doc_id > m),
 gone AS (SELECT doc_id, list(pos) AS g FROM cov GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
-  sha256(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_filter(w, (x, p) -> NOT list_contains(g, p - 1)) END, ' ')) AS kept_sha256
+  sha256(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, p: NOT list_contains(g, p - 1)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id
 """

@@ -65,7 +65,7 @@ def _key(s: np.ndarray) -> tuple[int, int]:
     if not len(s):
         return 0, 0
     a = rolling.mix(np.array([np.bitwise_xor.reduce(s), np.add.reduce(rolling.mix(s ^ np.uint64(0x5851F42D4C957F2D)))], np.uint64))
-    b = rolling.mix(np.array([a[0] + np.uint64(3) * a[1] + np.uint64(len(s))], np.uint64))
+    b = rolling.mix(a[:1] + np.uint64(3) * a[1:] + np.uint64(len(s)))
     return int(b.view(np.int64)[0]), int(a[1:].view(np.int64)[0])
 
 
@@ -334,12 +334,12 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i + 1 : i + 5], ' ') END AS g
   FROM d, LATERAL (SELECT unnest(range(0, greatest(len(w) - 4, 1))) AS i) WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-e AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
 e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT DISTINCT a AS doc_id, a AS root FROM e2 UNION SELECT e2.b, r.root FROM r JOIN e2 ON e2.a = r.doc_id)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce((SELECT min(root) FROM r WHERE r.doc_id = d.doc_id), d.doc_id)::BIGINT AS component_id

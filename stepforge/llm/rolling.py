@@ -21,6 +21,11 @@ _TABLE = np.random.default_rng(20240607).integers(0, 2**63, (2, 256), dtype=np.u
 #: ASCII white space: \x09-\x0D and the blank.
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes that aren't part of a word of letters and digits (bytes of other characters than ASCII are).
+SEPARATOR = np.ones(256, bool)
+SEPARATOR[128:] = False
+for _c in (slice(48, 58), slice(65, 91), slice(97, 123)):
+    SEPARATOR[_c] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -87,11 +92,11 @@ def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK) -> Iterator[t
         first = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of bytes other than ASCII white space: (bytes, starts, ends, word offsets by text)."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, separator: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes other than separators (ASCII white space): (bytes, starts, ends, word offsets by text)."""
     if lower:
         data = _LOWER[data]
-    inside = ~_SPACE[data]
+    inside = ~separator[data]
     edge = np.empty(len(data) + 1, bool)
     edge[0], edge[-1] = True, True
     edge[1:-1] = ~inside[:-1]
