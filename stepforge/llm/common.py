@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -81,9 +82,16 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def free(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished work now, not when the driver happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table in the shared folder and reads it again: lineage ends there, and executors can be lost after it."""
     spark = df.sparkSession
     path = table_path(spark, name)
     df.write.parquet(path)
+    free(spark)
     return spark.read.schema(df.schema).parquet(path)

@@ -35,6 +35,8 @@ ORDERED = 200_000
 #: A row in an inverted list costs so many rows more, for verification.
 VERIFY = 4
 LIGHT_MOST = 12
+#: Ids that are broadcast to fetch texts for verification; more are joined by a shuffle.
+BROADCAST = 50_000
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -69,13 +71,31 @@ def _key(s: np.ndarray) -> tuple[int, int]:
     return int(b.view(np.int64)[0]), int(a[1:].view(np.int64)[0])
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the shingles by bucket, at least two buckets a shingle: the number of differing bits of two sketches
+    (the longer one folded) is at most the size of the sets' symmetric difference."""
+    bits = max(512, 1 << int(2 * len(s) - 1).bit_length()) if len(s) else 512
+    counts = np.bincount(((s >> np.uint64(13)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(x: bytes, y: bytes, s: int, t: int, percent: int = PERCENT) -> bool:
+    """False only if sets of sizes s and t with these sketches can't be linked."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) <= s + t - 2 * overlap(s, t, percent)
+
+
 def _classes(words: int) -> Callable:
-    """(doc_id, text) to one row a text (kind 0: doc_id, n, k1, k2) and the batch's repeated shingles (kind 1: hash, sets)."""
-    names = ["kind", "id", "n", "k1", "k2"]
+    """(doc_id, text) to one row a text (kind 0: doc_id, n, k1, sketch) and the batch's repeated shingles (kind 1: hash, sets)."""
+    names = ["kind", "id", "n", "k1", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, k1, k2, seen, held, size = [], [], [], set(), [], 0
+            n, k1, sketches, seen, held, size = [], [], [], set(), [], 0
             hashes, counts = [], []
 
             def counted(held: list) -> None:
@@ -88,7 +108,7 @@ def _classes(words: int) -> Callable:
                 key = _key(s)
                 n.append(len(s))
                 k1.append(key[0])
-                k2.append(key[1])
+                sketches.append(sketch(s) if key not in seen else None)
                 if key not in seen:
                     seen.add(key)
                     held.append(s)
@@ -98,11 +118,11 @@ def _classes(words: int) -> Callable:
                         held, size = [], 0
             counted(held)
             kind = np.zeros(len(n), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(kind), batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(sketches, pa.binary())], names=names)
             for h, c in zip(hashes, counts, strict=True):
                 if len(h):
                     z = np.zeros(len(h), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64)), pa.array(z), pa.array(z)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64)), pa.array(z), pa.nulls(len(h), pa.binary())], names=names)
 
     return run
 
@@ -244,6 +264,16 @@ def _members(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _near(percent: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            keep = pa.array([may_link(x, y, s, t, percent) for _, _, x, y, s, t in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return run
+
+
 def _verified(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
@@ -269,9 +299,9 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     """(classes, edges): classes has doc_id, n, k1 for each row of docs (doc_id, text); edges (a, b) are links of different classes that give the components."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
-    both = stored(texts.mapInArrow(_classes(words), "kind int, id long, n long, k1 long, k2 long"), "classes")
+    both = stored(texts.mapInArrow(_classes(words), "kind int, id long, n long, k1 long, sketch binary"), "classes")
     classes = both.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "k1")
-    distinct = stored(classes.where("n > 0").groupBy("k1").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "distinct")
+    distinct = stored(both.where("kind = 0 and n > 0").withColumnRenamed("id", "doc_id").groupBy("k1").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "distinct")
     often = both.where("kind = 1").groupBy(F.col("id").alias("h")).agg(F.sum("n").alias("c")).where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "h").limit(ORDERED)
     often = often.toPandas()
     h = often["h"].to_numpy(np.int64).view(np.uint64)
@@ -280,17 +310,22 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     bound = boundary(sizes, percent)
     rows = texts.select("text").mapInArrow(_postings(words, percent, bound, h[order].tobytes(), often["c"].to_numpy(np.int64)[order].tobytes()), "h long, k1 long")
     lists = rows.repartition("h").sortWithinPartitions("h", "k1").mapInArrow(_lists, "h long, pivot long, k1 long")
-    size = distinct.select("k1", "n")
     lists = stored(lists, "lists")
-    needed = lists.select(F.col("k1")).union(lists.select("pivot")).distinct().join(distinct, "k1").select("k1", F.col("doc_id").alias("holder"), "n")
-    needed = stored(needed, "needed")
-    sets = texts.join(needed, F.col("doc_id").eqNullSafe(F.col("holder"))).select("k1", "text").mapInArrow(_set_bytes(words), "k1 long, members binary")
-    sets = stored(sets.dropDuplicates(["k1"]), "sets")
+    size = distinct.select("k1", "n")
 
     def verify(pairs: DataFrame) -> DataFrame:
+        """The links among pairs (a, b): by size, by sketch, and what is left by the sets themselves."""
         near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-        pairs = pairs.join(size.select(F.col("k1").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("k1").alias("b"), F.col("n").alias("nb")), "b").where(near).select("a", "b")
-        pairs = pairs.join(sets.select(F.col("k1").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("k1").alias("a"), F.col("members").alias("x")), "a")
+        for c in ("a", "b"):
+            pairs = pairs.join(distinct.select(F.col("k1").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
+        pairs = stored(pairs.where(near).select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_near(percent), "a long, b long"), "pairs")
+        needed = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct().join(distinct.select("k1", F.col("doc_id").alias("holder")), "k1")
+        needed = stored(needed, "needed")
+        few = needed.limit(BROADCAST + 1).count() <= BROADCAST
+        sets = texts.join(F.broadcast(needed) if few else needed, F.col("doc_id").eqNullSafe(F.col("holder"))).select("k1", "text").mapInArrow(_set_bytes(words), "k1 long, members binary")
+        sets = stored(sets, "sets")
+        for c, m in (("b", "y"), ("a", "x")):
+            pairs = pairs.join(sets.select(F.col("k1").alias(c), F.col("members").alias(m)), c)
         return stored(pairs.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long"), "edges")
 
     stars = verify(lists.select(F.col("pivot").alias("a"), F.col("k1").alias("b")).distinct())
