@@ -37,6 +37,8 @@ VERIFY = 4
 LIGHT_MOST = 12
 #: Ids that are broadcast to fetch texts for verification; more are joined by a shuffle.
 BROADCAST = 50_000
+#: Members of a list that one task compares with as many others, where a list has several components.
+PART = 4096
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -274,6 +276,46 @@ def _near(percent: int) -> Callable:
     return run
 
 
+def folded(raw: bytes, size: int = 64) -> np.ndarray:
+    x = np.frombuffer(raw, np.uint8)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _cross(percent: int) -> Callable:
+    """Members (h, p, q, k1, root, n, sketch, own) of two parts of a list to the pairs of different components that size and sketch allow."""
+
+    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        k, root, n, own = (np.array([r[i] for r in rows], np.int64) for i in (3, 4, 5, 7))
+        bits = np.stack([folded(r[6]) for r in rows]).view(np.uint64)
+        p, q = rows[0][1], rows[0][2]
+        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+        out = []
+        for i in left.tolist():
+            j = right[(right > i)] if p == q else right
+            j = j[(root[j] != root[i]) & (n[j] * 100 >= n[i] * percent) & (n[i] * 100 >= n[j] * percent)]
+            if len(j):
+                most = n[i] + n[j] - 2 * -(-percent * (n[i] + n[j]) // (100 + percent))
+                j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= most]
+                out.append((np.minimum(k[i], k[j]), np.maximum(k[i], k[j])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[c] for x in out])) for c in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and rows[0][:3] != r[:3]:
+                    yield from pairs(rows)
+                    rows = []
+                rows.append(r)
+        if rows:
+            yield from pairs(rows)
+
+    return run
+
+
 def _verified(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
@@ -311,7 +353,6 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     rows = texts.select("text").mapInArrow(_postings(words, percent, bound, h[order].tobytes(), often["c"].to_numpy(np.int64)[order].tobytes()), "h long, k1 long")
     lists = rows.repartition("h").sortWithinPartitions("h", "k1").mapInArrow(_lists, "h long, pivot long, k1 long")
     lists = stored(lists, "lists")
-    size = distinct.select("k1", "n")
 
     def verify(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b): by size, by sketch, and what is left by the sets themselves."""
@@ -330,14 +371,19 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
 
     stars = verify(lists.select(F.col("pivot").alias("a"), F.col("k1").alias("b")).distinct())
     roots = stored(components(stars), "roots")
-    members = lists.select("h", "k1").union(lists.select("h", F.col("pivot").alias("k1")).distinct())
-    members = members.join(roots, members.k1 == roots.node, "left").select("h", "k1", F.coalesce("root", "k1").alias("root"))
-    # lists whose members are of one component are done
-    open_lists = members.groupBy("h").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("h")
-    members = stored(members.join(open_lists, "h").join(size, "k1"), "open")
-    x, y = members.alias("x"), members.alias("y")
-    cross = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.k1") < F.col("y.k1")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent))
-    cross = cross.select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).distinct()
+    # lists of two hold one pair, which is done; so are lists whose members are of one component
+    sized = lists.join(roots, lists.k1 == roots.node, "left").select("h", "pivot", "k1", F.coalesce("root", "k1").alias("root"))
+    mark = F.xxhash64("k1").cast("decimal(38,0)")
+    open_lists = sized.groupBy("h", "pivot").agg(F.count("*").alias("m"), F.sum(mark).alias("mark"), F.min("root").alias("p"), F.max("root").alias("q"))
+    open_lists = open_lists.join(roots, open_lists.pivot == roots.node, "left").withColumn("r", F.coalesce("root", "pivot")).where("m > 1 and (p <> q or p <> r)")
+    # many shingles have the same documents: one list of each is enough
+    open_lists = stored(open_lists.groupBy("pivot", "m", "mark").agg(F.min("h").alias("h")).select("h", "pivot", (F.floor(F.col("m") / PART) + 1).alias("parts")), "open")
+    members = lists.select("h", "k1").join(open_lists.select("h", "parts"), "h").union(open_lists.select("h", F.col("pivot").alias("k1"), "parts"))
+    members = members.join(roots, members.k1 == roots.node, "left").select("h", "k1", F.coalesce("root", "k1").alias("root"), "parts")
+    members = members.join(distinct.select("k1", "n", "sketch"), "k1").withColumn("own", F.pmod(F.xxhash64("k1"), F.col("parts")))
+    members = members.select("h", "k1", "root", "n", "sketch", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    members = members.select("h", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "k1", "root", "n", "sketch", "own")
+    cross = members.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q").mapInArrow(_cross(percent), "a long, b long").distinct()
     done = lists.select(F.least("pivot", "k1").alias("a"), F.greatest("pivot", "k1").alias("b")).distinct()
     more = verify(cross.join(done, ["a", "b"], "left_anti"))
     return classes, stars.union(more)
