@@ -31,6 +31,8 @@ EVERY = 20
 FIT_ROWS = 10_000
 CALIBRATE = 256
 ROTATIONS = 2
+#: Codes have at least about so many bits.
+BITS = 128
 RECALL = 0.985
 ROW_BLOCK = 16_384
 QUERY_BLOCK = 2_048
@@ -101,17 +103,17 @@ class MultiIndex:
         return rows[inside], distance[inside]
 
 
-def calibrate(x: np.ndarray, rotation: np.ndarray, top: int, recall: float, queries: int = CALIBRATE) -> int:
-    """The Hamming radius that holds that share of the ``top`` neighbours of sample rows among the sample."""
+def calibrate(x: np.ndarray, square: float, rotation: np.ndarray, top: int, recall: float, queries: int = CALIBRATE) -> int:
+    """The Hamming radius that holds that share of the ``top`` neighbours of sample rows (as queries) among the sample."""
     if len(x) < 2:
         return rotation.shape[1]
-    q = x[: min(queries, len(x))].copy()
+    q = x[: min(queries, len(x))]
     scores = q @ x.T
     scores[np.arange(len(q)), np.arange(len(q))] = -np.inf
     k = min(top, len(x) - 1)
     near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-    c = codes(x, rotation)
-    distance = np.bitwise_count(c[near] ^ c[: len(q), None, :]).sum(axis=2)
+    c = codes(lengthened(x, square), rotation)
+    distance = np.bitwise_count(c[near] ^ codes(lengthened(q, square, True), rotation)[:, None, :]).sum(axis=2)
     return int(np.quantile(distance, recall, method="higher"))
 
 
@@ -154,9 +156,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, rotations: i
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").collect()  # at most FIT_ROWS
     if not sample or not n_queries:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = lengthened(np.array([r["v"] for r in sample], np.float64), square)
-    rotation = learn_rotations(x, rotations)
-    radius = calibrate(x, rotation, top, recall)
+    x = np.array([r["v"] for r in sample], np.float64)
+    rotation = learn_rotations(lengthened(x, square), max(rotations, round(BITS / (x.shape[1] + 1))))
+    radius = calibrate(x, square, rotation, top, recall)
     row_blocks, query_blocks = max(1, math.ceil(n / row_block)), max(1, math.ceil(n_queries / query_block))
     # rows are dealt by id and vector: many rows with one id or one vector still spread
     r = vectors.select("id", "v", F.lit(False).alias("is_query"), F.pmod(F.xxhash64("id", "v"), F.lit(row_blocks)).alias("rb"), F.explode(F.expr(f"sequence(0L, {query_blocks - 1}L)")).alias("qb"))

@@ -36,7 +36,7 @@ SCHEMA = "page_id long, warc_type string, record_id string, refers_to string, ta
 
 def plain_text(page: str) -> str:
     """Visible text, one line for each block element, blanks folded."""
-    text = _MARKUP.sub(lambda m: "\n" if m[2] and m[2].lower() in BLOCKS else " " if m[1] or not m[2] else "", page)
+    text = _MARKUP.sub(lambda m: "\n" if m[2] and m[2].lower() in BLOCKS else "", page)
     lines = (_BLANK.sub(" ", x).strip() for x in html.unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
