@@ -4,8 +4,9 @@ Sets of equal content are one class from the start.  Light (small) classes enume
 partner of a given size must share; heavy (large) ones are put in inverted lists by the prefix of their set, in a
 global order that puts shingles of many documents last.  The boundary between them is the size at which the rows both
 ways make cost least, computed from the sizes of all classes.  Each list first pairs its members with one pivot (as
-many pairs as members); once the components of the verified links are known, only members of different components are
-paired and verified as well.  So no link between components is lost, and a group of m near copies costs m pairs.
+many pairs as members); once the components of the verified links are known, members that may be linked with one of
+another component are compared within their lists, block by block, and a block gives fewer links than it has members.
+So no link between components is lost, and a group of m near copies costs m pairs.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; a null doc_id is kept, and never
 names a component unless it is alone; rows repeated with one doc_id are each returned; extra columns are ignored.
@@ -39,6 +40,8 @@ LIGHT_MOST = 12
 BROADCAST = 50_000
 #: Members of a list that one task compares with as many others, where a list has several components.
 PART = 4096
+#: Shingles of the members of one part, where members that may be linked are compared by their sets.
+PART_SHINGLES = 262_144
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -283,35 +286,73 @@ def folded(raw: bytes, size: int = 64) -> np.ndarray:
     return x
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """The rows of each block; rows come sorted by their first ``keys`` columns."""
+    rows: list[tuple] = []
+    for batch in batches:
+        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if rows and rows[0][:keys] != r[:keys]:
+                yield rows
+                rows = []
+            rows.append(r)
+    if rows:
+        yield rows
+
+
+def _candidates(i: int, j: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """Those of j that are of another component than i and that size and folded sketch allow."""
+    j = j[(root[j] != root[i]) & (n[j] * 100 >= n[i] * percent) & (n[i] * 100 >= n[j] * percent)]
+    if not len(j):
+        return j
+    most = n[i] + n[j] - 2 * -(-percent * (n[i] + n[j]) // (100 + percent))
+    return j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= most]
+
+
 def _cross(percent: int) -> Callable:
-    """Members (h, p, q, k1, root, n, sketch, own) of two parts of a list to the pairs of different components that size and sketch allow."""
-
-    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        k, root, n, own = (np.array([r[i] for r in rows], np.int64) for i in (3, 4, 5, 7))
-        bits = np.stack([folded(r[6]) for r in rows]).view(np.uint64)
-        p, q = rows[0][1], rows[0][2]
-        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        out = []
-        for i in left.tolist():
-            j = right[(right > i)] if p == q else right
-            j = j[(root[j] != root[i]) & (n[j] * 100 >= n[i] * percent) & (n[i] * 100 >= n[j] * percent)]
-            if len(j):
-                most = n[i] + n[j] - 2 * -(-percent * (n[i] + n[j]) // (100 + percent))
-                j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= most]
-                out.append((np.minimum(k[i], k[j]), np.maximum(k[i], k[j])))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[c] for x in out])) for c in (0, 1)], names=["a", "b"])
+    """Members (h, p, q, k1, root, n, sketch, own) of two parts of a list to those that may be linked with a member of
+    another component: at most one row a member of a block, however many partners it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rows and rows[0][:3] != r[:3]:
-                    yield from pairs(rows)
-                    rows = []
-                rows.append(r)
-        if rows:
-            yield from pairs(rows)
+        for rows in _blocks(batches, 3):
+            root, n, own = (np.array([r[i] for r in rows], np.int64) for i in (4, 5, 7))
+            bits = np.stack([folded(r[6]) for r in rows]).view(np.uint64)
+            p, q = rows[0][1], rows[0][2]
+            right, marked = np.flatnonzero(own == q), np.zeros(len(rows), bool)
+            for i in np.flatnonzero(own == p).tolist():
+                j = right[right > i] if p == q else right
+                for x in _candidates(i, j[~marked[j]] if marked[i] else j, root, n, bits, percent).tolist():
+                    if not (marked[i] and marked[x]) and may_link(rows[i][6], rows[x][6], n[i], n[x], percent):
+                        marked[i] = marked[x] = True
+            close = [rows[i][:7] for i in np.flatnonzero(marked).tolist()]
+            if close:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 6 else pa.int64()) for i, c in enumerate(zip(*close, strict=True))], names=["h", "p", "q", "k1", "root", "n", "sketch"])
+
+    return run
+
+
+def _joined(percent: int) -> Callable:
+    """Members (h, p, q, r, s, k1, root, n, sketch, members) of a block to verified links (a, b) that give its
+    components: a pair that links found before already connect is not compared, so links are fewer than members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches, 5):
+            k, root, n = (np.array([r[i] for r in rows], np.int64) for i in (5, 6, 7))
+            bits = np.stack([folded(r[8]) for r in rows]).view(np.uint64)
+            a, b = [], []
+            for i in range(len(rows)):
+                left = None
+                for j in _candidates(i, np.arange(i + 1, len(rows)), root, n, bits, percent).tolist():
+                    if root[i] == root[j] or not may_link(rows[i][8], rows[j][8], n[i], n[j], percent):
+                        continue
+                    left = _members(rows[i][9]) if left is None else left
+                    both = np.sort(np.concatenate([left, _members(rows[j][9])]))
+                    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                    if 100 * shared >= percent * (len(both) - shared):
+                        a.append(min(k[i], k[j]))
+                        b.append(max(k[i], k[j]))
+                        root[root == root[j]] = root[i]
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -354,17 +395,20 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     lists = rows.repartition("h").sortWithinPartitions("h", "k1").mapInArrow(_lists, "h long, pivot long, k1 long")
     lists = stored(lists, "lists")
 
+    def fetched(keys: DataFrame) -> DataFrame:
+        """(k1, members) of every set named in keys (k1)."""
+        needed = stored(keys.distinct().join(distinct.select("k1", F.col("doc_id").alias("holder")), "k1"), "needed")
+        few = needed.limit(BROADCAST + 1).count() <= BROADCAST
+        sets = texts.join(F.broadcast(needed) if few else needed, F.col("doc_id").eqNullSafe(F.col("holder"))).select("k1", "text").mapInArrow(_set_bytes(words), "k1 long, members binary")
+        return stored(sets, "sets")
+
     def verify(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b): by size, by sketch, and what is left by the sets themselves."""
         near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
         for c in ("a", "b"):
             pairs = pairs.join(distinct.select(F.col("k1").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
         pairs = stored(pairs.where(near).select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_near(percent), "a long, b long"), "pairs")
-        needed = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct().join(distinct.select("k1", F.col("doc_id").alias("holder")), "k1")
-        needed = stored(needed, "needed")
-        few = needed.limit(BROADCAST + 1).count() <= BROADCAST
-        sets = texts.join(F.broadcast(needed) if few else needed, F.col("doc_id").eqNullSafe(F.col("holder"))).select("k1", "text").mapInArrow(_set_bytes(words), "k1 long, members binary")
-        sets = stored(sets, "sets")
+        sets = fetched(pairs.select(F.col("a").alias("k1")).union(pairs.select("b")))
         for c, m in (("b", "y"), ("a", "x")):
             pairs = pairs.join(sets.select(F.col("k1").alias(c), F.col("members").alias(m)), c)
         return stored(pairs.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long"), "edges")
@@ -381,11 +425,21 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     members = lists.select("h", "k1").join(open_lists.select("h", "parts"), "h").union(open_lists.select("h", F.col("pivot").alias("k1"), "parts"))
     members = members.join(roots, members.k1 == roots.node, "left").select("h", "k1", F.coalesce("root", "k1").alias("root"), "parts")
     members = members.join(distinct.select("k1", "n", "sketch"), "k1").withColumn("own", F.pmod(F.xxhash64("k1"), F.col("parts")))
-    members = members.select("h", "k1", "root", "n", "sketch", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     members = members.select("h", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "k1", "root", "n", "sketch", "own")
-    cross = members.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q").mapInArrow(_cross(percent), "a long, b long").distinct()
-    done = lists.select(F.least("pivot", "k1").alias("a"), F.greatest("pivot", "k1").alias("b")).distinct()
-    more = verify(cross.join(done, ["a", "b"], "left_anti"))
+    close = members.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q").mapInArrow(_cross(percent), "h long, p long, q long, k1 long, root long, n long, sketch binary")
+    close = stored(close, "close")
+    # blocks of the same members are compared once, in parts of bounded size
+    marks = [F.sum(F.xxhash64(F.lit(i), "k1").cast("decimal(38,0)")).alias(f"mark{i}") for i in (0, 1)]
+    blocks = close.groupBy("h", "p", "q").agg(F.count("*").alias("m"), F.sum("n").alias("size"), *marks)
+    blocks = blocks.groupBy("m", "mark0", "mark1").agg(F.min(F.struct("h", "p", "q")).alias("block"), F.max("size").alias("size"))
+    blocks = blocks.select("block.*", (F.floor(F.col("size") / PART_SHINGLES) + 1).alias("parts"))
+    chosen = close.join(blocks, ["h", "p", "q"]).withColumn("own", F.pmod(F.xxhash64(F.lit(2), "k1"), F.col("parts")))
+    chosen = chosen.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    chosen = chosen.join(fetched(close.select("k1")), "k1")
+    key = ["h", "p", "q", "r", "s"]
+    chosen = chosen.select("h", "p", "q", F.least("own", "other").alias("r"), F.greatest("own", "other").alias("s"), "k1", "root", "n", "sketch", "members")
+    more = stored(chosen.repartition(*key).sortWithinPartitions(*key).mapInArrow(_joined(percent), "a long, b long"), "more")
     return classes, stars.union(more)
 
 
