@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +149,40 @@ def test_jaccard_join(spark, docs, empty):
     assert jaccard_join.cluster(empty).count() == 0
 
 
+def test_cross_component_blocks():
+    """Members of a list in two parts: the links that the blocks give connect what all pairs of linked sets connect."""
+    r = np.random.default_rng(3)
+    base = [np.unique(r.integers(0, 2**63, 80, dtype=np.uint64)) for _ in range(6)]
+    sets = [np.sort(np.concatenate([b[int(r.integers(0, 12)) :], r.integers(0, 2**63, int(r.integers(0, 9)), dtype=np.uint64)])) for b in base for _ in range(9)]
+    raw = [(s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]
+
+    def connected(pairs):
+        root = list(range(len(sets)))
+        for a, b in pairs:
+            root = [root[a] if x == root[b] else x for x in root]
+        return {frozenset(i for i in range(len(sets)) if root[i] == x) for x in root}
+
+    def rows(columns, names):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    found = []
+    for p, q in ((0, 0), (0, 1), (1, 1)):
+        at = [i for i in range(len(sets)) if i % 2 in (p, q)]
+        n = len(at)
+        block = rows([[7] * n, [p] * n, [q] * n, at, at, [len(sets[i]) for i in at], [jaccard_join.sketch(sets[i]) for i in at], [i % 2 for i in at]], list("hpqkrnso"))
+        for close in jaccard_join._cross(75)(iter([block])):
+            k = close.column(3).to_pylist()
+            assert len(set(k)) == len(k)
+            zero = [0] * len(k)
+            columns = [c.to_pylist() for c in close.columns]
+            joined = rows([*columns[:3], zero, zero, *columns[3:], [raw[i] for i in k]], list("hpqrsktnxm"))
+            for out in jaccard_join._joined(75)(iter([joined])):
+                assert out.num_rows < len(k)
+                found += zip(*(c.to_pylist() for c in out.columns), strict=True)
+    true = [(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(s := np.intersect1d(sets[a], sets[b])) >= 75 * (len(sets[a]) + len(sets[b]) - len(s))]
+    assert set(found) <= set(true) and connected(found) == connected(true)
+
+
 def test_sketch_bound():
     r = np.random.default_rng(1)
     for _ in range(50):
