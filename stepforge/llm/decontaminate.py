@@ -3,8 +3,10 @@
 Texts are cut in overlapping passages, which are TF-IDF vectors over the benchmark's words (document frequencies come
 from all documents; words of more than ``MAX_DF`` of them are left out).  A distributed randomised SVD of all passages
 and of the benchmark items (weighted to the same total, so that the leading directions also tell items apart) gives a
-latent space; passages whose cosine with an item is high are candidates.  A candidate is verified by the longest common
-subsequence of words of the item and the text around the passage, and by the part of the item's end (its answer) in it.
+latent space; passages whose cosine with an item is high are candidates.  So are, whatever the number of items and the
+rank, passages that hold ``HELD`` of the rare words (by weight) of a piece of an item; pieces are short enough to lie
+whole in one passage, so no exact copy is missed.  A candidate is verified by the longest common subsequence of words of
+the item and the text around the passage, and by the part of the item's end (its answer) in it.
 
 The benchmark is the stated query set: it is read to the driver and sent to the executors in blocks of at most
 ``BLOCK`` items.  What one task sends back is a matrix of (words of the block) x ``RANK``, summed in two levels.
@@ -31,6 +33,7 @@ STEP = 48
 RANK = 128
 MAX_DF = 0.05
 COSINE = 0.3
+HELD = 0.3
 #: Share of an item's words in common order that marks a text by itself, and with an answer that is found.
 COPY, PARAPHRASE, ANSWER = 0.8, 0.5, 0.5
 BLOCK = 4096
@@ -203,15 +206,41 @@ class Item:
         return got, got / m, common_subsequence(masks, len(tail), around).bit_count() / len(tail)
 
 
+def pieces(items: list[Item], vocabulary: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of pieces of at most ``STEP`` words: the item of each; and by word (from, to in the first) the pieces that hold it and its share of their weight."""
+    owner, word, piece, share = [], [], [], []
+    for i, x in enumerate(items):
+        for part in np.array_split(np.searchsorted(vocabulary, np.array(x.words, np.uint64)), -(-len(x.words) // STEP)):
+            part = np.unique(part)
+            part = part[idf[part] > 0]
+            if len(part):
+                word.append(part)
+                piece.append(np.full(len(part), len(owner)))
+                share.append(idf[part] / idf[part].sum())
+                owner.append(i)
+    word, piece, share = np.concatenate(word), np.concatenate(piece), np.concatenate(share)
+    order = np.argsort(word, kind="stable")
+    return np.searchsorted(word[order], np.arange(len(vocabulary) + 1)), piece[order], share[order], np.array(owner)
+
+
+def held(first: np.ndarray, piece: np.ndarray, share: np.ndarray, n_pieces: int, word: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """(passage, piece): the share of the piece's weight whose words the passage holds; (owner, word) are distinct."""
+    count = first[word + 1] - first[word]
+    at = np.repeat(first[word] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    return np.bincount(np.repeat(owner, count) * n_pieces + piece[at], share[at], n * n_pieces).reshape(n, n_pieces)
+
+
 def leaked(share: float, answer: float) -> bool:
     return share >= COPY or (share >= PARAPHRASE and answer >= ANSWER)
 
 
-def _search(words: bytes, idf_raw: bytes, basis_raw: bytes, rank: int, items: list[Item], latent_raw: bytes) -> Callable:
+def _search(words: bytes, idf_raw: bytes, basis_raw: bytes, rank: int, items: list[Item], latent_raw: bytes, parts: tuple[np.ndarray, ...]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, idf = Lookup(np.frombuffer(words, np.uint64)), np.frombuffer(idf_raw)
         basis = np.frombuffer(basis_raw, np.float32).reshape(-1, rank)
         latent = np.frombuffer(latent_raw, np.float32).reshape(-1, rank)
+        first_piece, piece, piece_share, piece_item = parts
+        rows_at_once = max(1, min(8192, (1 << 21) // len(piece_item)))
         for batch in batches:
             for first, _, data, offsets in rolling.chunks(batch.column(1), 1 << 20):
                 h, woff = text_words(data, offsets)
@@ -223,10 +252,16 @@ def _search(words: bytes, idf_raw: bytes, basis_raw: bytes, rank: int, items: li
                 text, start, entry, owner = passages(woff, hit)
                 weight, _ = vectors(at[hit], idf, entry, owner, len(start))
                 y = _sum_rows(basis[at[hit][entry]] * weight[:, None].astype(np.float32), owner)
+                once = np.unique(owner * len(idf) + at[hit][entry])
+                once_owner, once_word = once // len(idf), once % len(idf)
                 best: dict[tuple[int, int], tuple] = {}
-                for i in range(0, len(y), 8192):
-                    cosine = y[i : i + 8192] @ latent.T
-                    for p, q in zip(*np.nonzero(cosine >= COSINE), strict=True):
+                for i in range(0, len(y), rows_at_once):
+                    cosine = y[i : i + rows_at_once] @ latent.T
+                    candidate = cosine >= COSINE
+                    a, b = np.searchsorted(once_owner, (i, i + len(cosine)))
+                    p, k = np.nonzero(held(first_piece, piece, piece_share, len(piece_item), once_word[a:b], once_owner[a:b] - i, len(cosine)) >= HELD)
+                    candidate[p, piece_item[k]] = True
+                    for p, q in zip(*np.nonzero(candidate), strict=True):
                         item, t = items[q], int(text[i + p])
                         m = len(item.words)
                         lo = max(int(woff[t]), int(woff[t] + start[i + p]) - m)
@@ -299,7 +334,7 @@ def _matches_of(docs: DataFrame, rows: list, rank: int) -> DataFrame | None:
     basis = np.linalg.qr(z)[0].astype(np.float32)
     latent = (b @ basis).astype(np.float32)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-6)
-    return docs.select("doc_id", "text").mapInArrow(_search(vocabulary.tobytes(), idf.tobytes(), basis.tobytes(), rank, items, latent.tobytes()), HITS).groupBy("doc_id", "item_id").agg(
+    return docs.select("doc_id", "text").mapInArrow(_search(vocabulary.tobytes(), idf.tobytes(), basis.tobytes(), rank, items, latent.tobytes(), pieces(items, vocabulary, idf)), HITS).groupBy("doc_id", "item_id").agg(
         *(F.max(F.struct("lcs", "share", "answer", "cosine"))[c].alias(c) for c in ("lcs", "share", "answer", "cosine"))
     )
 

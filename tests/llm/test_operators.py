@@ -235,6 +235,18 @@ def test_decontamination(spark, empty):
     assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(df, bench.where("false")).count() == 0
 
 
+def test_decontamination_finds_every_copy_of_many_items(spark):
+    r = np.random.default_rng(12)
+    vocabulary = np.array([f"w{i}" for i in range(4000)])
+    items = [" ".join(r.choice(vocabulary, int(n))) for n in r.integers(14, 60, 1200)] + [" ".join(r.choice(vocabulary, 400)) for _ in range(5)]
+    rows = [(i, " ".join([*r.choice(vocabulary, 150), x, *r.choice(vocabulary, 150)])) for i, x in enumerate(items)]
+    rows += [(len(items) + i, " ".join(r.choice(vocabulary, 200))) for i in range(200)]
+    got = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    whole = {(x.doc_id, x.item_id): x.share for x in got}
+    assert [i for i in range(len(items)) if whole.get((i, i)) != 1.0] == []
+    assert all(d == i for d, i in whole)
+
+
 def test_common_subsequence():
     r = np.random.default_rng(4)
     for _ in range(50):
