@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from stepforge.llm import rolling
 from stepforge.llm.common import components, stored, table
@@ -251,7 +252,10 @@ def _set_bytes(words: int) -> Callable:
         for batch in batches:
             k, s, size = [], [], 0
             for row, x in shingle_sets(batch.column(1), words):
-                k.append(batch.column(0)[row].as_py())
+                key = batch.column(0)[row].as_py()
+                if _key(x)[0] != key:  # another text of a repeated doc_id
+                    continue
+                k.append(key)
                 s.append((x >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
                 size += len(s[-1])
                 if size > 4 << 20:
@@ -443,25 +447,58 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     return classes, stars.union(more)
 
 
-def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
+def _named(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(classes, named): doc_id, n_shingles, k1 of each row; and each class's root and component."""
     classes, edges = links(docs, words, percent)
     classes = classes.select("doc_id", F.col("n").alias("n_shingles"), "k1")
     roots = components(edges)
     sets = classes.where("n_shingles > 0").groupBy("k1").agg(F.min("doc_id").alias("least"))
     named = sets.join(roots, sets.k1 == roots.node, "left").select("k1", "least", F.coalesce("root", "k1").alias("root"))
     first = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(first, "root").select("k1", "component")
+    return classes, named.join(first, "root").select("k1", "root", "component")
+
+
+def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
+    classes, named = _named(docs, words, percent)
     out = classes.join(named, "k1", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _with_key(words: int) -> Callable:
+    """Rows with their class added (null: an empty set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k1 = [_key(s)[0] if len(s) else None for _, s in shingle_sets(batch.column(batch.schema.get_field_index("text")), words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k1, pa.int64())], names=[*batch.schema.names, "_k1"])
+
+    return run
+
+
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; of rows repeated with the least one, one stays."""
-    spare = cluster(docs, words, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(spare, F.col("doc_id") == F.col("_id"), "left_anti")
-    twice = kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")).limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if twice else kept
+    """One row of each component of docs: of the least doc_id (null last) and, where its texts differ, of the least class.
+
+    Rows without shingles are linked with nothing and stay; of those repeated with one doc_id (not null) one stays.
+    """
+    classes, named = _named(docs, words, percent)
+    rows = stored(classes.join(named, "k1", "left"), "named")
+    spare = rows.where("n_shingles > 0 and component < doc_id").select(F.col("doc_id").alias("_id"))
+    odd = stored(rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_id")), "odd")
+    if not odd.limit(1).count():
+        return docs.join(spare, F.col("doc_id") == F.col("_id"), "left_anti")
+    # a doc_id that is null or repeated doesn't tell the row's component: its class does
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    plain = docs.join(odd, same, "left_anti").join(spare, F.col("doc_id") == F.col("_id"), "left_anti")
+    many = docs.join(odd, same, "left_semi")
+    many = many.mapInArrow(_with_key(words), StructType([*many.schema.fields, StructField("_k1", LongType())]))
+    least = rows.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1")).alias("x"))
+    least = least.select(F.col("x.doc_id").alias("_id"), F.col("x.k1").alias("_least"))
+    chosen = many.join(least, (F.col("_k1") == F.col("_least")) & same, "left_semi").dropDuplicates(["doc_id", "_k1"])
+    bare = many.where("_k1 is null")
+    for part in (chosen, bare.where("doc_id is not null").dropDuplicates(["doc_id"]), bare.where("doc_id is null")):
+        plain = plain.unionByName(part.drop("_k1"))
+    return plain
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

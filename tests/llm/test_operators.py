@@ -149,6 +149,22 @@ def test_jaccard_join(spark, docs, empty):
     assert jaccard_join.cluster(empty).count() == 0
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    t = [prose(60, 200 + i) for i in range(9)]
+    near = t[0] + " " + VOCABULARY[0]
+    rows = [(1, t[0], "a"), (2, near, "b"), (None, near, "c"), (None, t[1], "d"), (None, t[2], "e"), (None, t[2], "f"), (5, t[3], "g"), (5, t[4], "h"), (5, t[0], "i"), (6, t[5], "j"), (6, t[5], "k")]
+    rows += [(7, t[5], "l"), (8, t[6], "m"), (9, "", "n"), (9, None, "o"), (9, t[7], "p"), (None, "", "q"), (None, None, "r"), (10, t[8], "s"), (10, t[8] + " " + VOCABULARY[1], "t"), (11, "", "u")]
+    for order in (rows, rows[::-1]):
+        got = jaccard_join.keep_one(spark.createDataFrame(order, "doc_id long, text string, name string").repartition(3))
+        names = Counter(r.name for r in got.collect())
+        assert max(names.values()) == 1 and got.columns == ["doc_id", "text", "name"]
+        # one of each of these groups, and nothing else
+        groups = ["a", "d", "ef", "g", "h", "jk", "m", "no", "p", "q", "r", "st", "u"]
+        assert [len(set(g) & set(names)) for g in groups] == [1] * len(groups) and len(names) == len(groups)
+    plain = jaccard_join.keep_one(spark.createDataFrame([x[:2] for x in rows if x[0] in (1, 2, 7, 8, 11)], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in plain.collect()) == [1, 7, 8, 11]
+
+
 def test_cross_component_blocks():
     """Members of a list in two parts: the links that the blocks give connect what all pairs of linked sets connect."""
     r = np.random.default_rng(3)
