@@ -111,6 +111,20 @@ def test_fingerprint_log(docs, batches, most):
     assert key(fingerprint_log.dedup(docs, batches, most=most).collect()) == key(brute10(corpus()))
 
 
+def test_fingerprint_log_query_joins_a_compacted_run(spark, monkeypatch):
+    levels, append = [], fingerprint_log.FingerprintLog.append
+
+    def noted(self, *args, **how):
+        levels.append([r[0] for r in self.runs])
+        return append(self, *args, **how)
+
+    monkeypatch.setattr(fingerprint_log.FingerprintLog, "append", noted)
+    got = fingerprint_log.op10_fingerprint_log(spark, "/root/testdata/sf0.001").collect()
+    assert any(level > 0 for level in levels[-1])
+    want = fingerprint_log.dedup(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"), batches=1).collect()
+    assert key(got) == key(want)
+
+
 def brute9(rows):
     sets = []
     for i, t, *_ in rows:
