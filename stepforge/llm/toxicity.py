@@ -4,17 +4,22 @@ Categories are predicted one after another by logistic models over the words of
 inflected and compound forms share a feature).  Each later model also gets the log odds of the earlier categories: in
 training those come from out-of-fold predictions, so that no model learns from answers its predecessor has seen.
 
-The chain is fitted on the driver on at most ``max_rows`` labelled texts, chosen by the hash of their id; feature
-choice, folds and iterations are deterministic.  Scoring covers every text, whole.  Defined cases: null and empty
-texts get the probabilities of a text without known words; unlabelled texts are only scored; labels repeated for an
-id count once (their greatest value); without labels of both kinds a category's probability is its smoothed share;
-rows repeated with one doc_id are each returned; extra columns are ignored.
+The chain is fitted on at most ``max_rows`` labelled texts, chosen by the hash of their id.  Features are counted by
+class and chosen on the executors; the driver gets the chosen ones (at most ``FEATURES`` a category) and the numbers of
+those that each text holds.  Feature choice, folds and iterations are deterministic.  Scoring covers every text, whole.
+
+Defined cases: null and empty texts get the probabilities of a text without known words; unlabelled texts are only
+scored; labels repeated for an id count once (their greatest value), and so does one of its texts (the one with the
+greatest hash); without labels of both kinds a category's probability is its smoothed share; without documents nothing
+is returned; rows repeated with one doc_id are each returned; extra columns are ignored by ``score`` and kept, whatever
+their names, by ``reject_toxic``, which keeps rows with a null doc_id and, of a repeated doc_id, drops every row if one
+of its texts is toxic.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,9 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepforge.llm import rolling
-from stepforge.llm.common import table
+from stepforge.llm.common import fresh, stored, table
 
-MAX_ROWS = 6_000
+MAX_ROWS = 8_000
 FEATURES = 1_500
 FOLDS = 3
 PREFIXES = (4, 5, 6)
@@ -148,27 +153,14 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(cut[np.argmin(np.abs(cut - 0.5))])
 
 
-def fit_chain(row: np.ndarray, hashes: np.ndarray, y: np.ndarray, categories: Sequence[str] = CATEGORIES, n_features: int = FEATURES, folds: int = FOLDS) -> Chain:
-    """row, hashes: distinct features of each training text; y: texts x categories of 0/1."""
-    n = len(y)
-    vocabulary, col, df = np.unique(hashes, return_inverse=True, return_counts=True)
-    keep = np.zeros(len(vocabulary), bool)
-    for k in range(len(categories)):
-        share = y[:, k].mean() if n else 0
-        seen = np.bincount(col, y[row, k], len(vocabulary))
-        z = (seen - share * df) / np.sqrt(np.maximum(df * share * (1 - share), 1e-9) + 1)
-        z[df < 3] = 0
-        best = np.argsort(-np.abs(z), kind="stable")[:n_features]
-        keep[best[np.abs(z[best]) > 2.5]] = True
-    at = np.cumsum(keep) - 1
-    mine = keep[col]
-    x = Sparse(row[mine], at[col[mine]], (n, int(keep.sum())))
-    chain = Chain(categories, vocabulary[keep])
+def fit_chain(x: Sparse, vocabulary: np.ndarray, y: np.ndarray, categories: Sequence[str] = CATEGORIES, folds: int = FOLDS) -> Chain:
+    """x: the chosen features (columns in the order of vocabulary) of each training text; y: texts x categories of 0/1."""
+    n, d = x.shape
+    chain = Chain(categories, vocabulary)
     fold = np.arange(n) % folds
     held = np.zeros((n, len(categories)))
     for k in range(len(categories)):
         earlier = logit(held[:, :k])
-        d = x.shape[1]
         for f in range(folds):
             train, test = fold != f, fold == f
             w = fit_logistic(x.take(train), earlier[train], y[train, k])
@@ -185,23 +177,53 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for first, end, data, offsets in rolling.chunks(batch.column(1)):
             text, hashes = distinct_pairs(*features(data, offsets))
             cut = np.searchsorted(text, np.arange(end - first + 1))
-            rows = [hashes[cut[i] : cut[i + 1]].tobytes() for i in range(end - first)]
             part = batch.slice(first, end - first)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(rows, pa.binary())], names=["doc_id", "y", "hashes"])
+            lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists], names=["doc_id", "y", "hashes"])
+
+
+def _columns(vocabulary: bytes) -> Callable:
+    """(doc_id, y, hashes) to (doc_id, y, columns of the known hashes, as int32 bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(vocabulary, np.uint64)
+        for batch in batches:
+            rows = []
+            for x in batch.column(2):
+                h = x.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+                rows.append(np.sort(at[known[at] == h]).astype(np.int32).tobytes() if len(known) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "y", "cols"])
+
+    return run
+
+
+def choose(rows: DataFrame, k: int, n_features: int = FEATURES) -> np.ndarray:
+    """Sorted hashes of the features that tell the classes apart best, at most ``n_features`` for each of k categories."""
+    shares = rows.agg(*(F.coalesce(F.avg(F.col("y")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(k))).first()
+    by = rows.select("y", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("df"), *(F.sum(F.col("y")[i]).alias(f"n{i}") for i in range(k))).where("df >= 3")
+    z = [F.abs((F.col(f"n{i}") - shares[i] * F.col("df")) / F.sqrt(F.greatest(F.col("df") * (shares[i] * (1 - shares[i])), F.lit(1e-9)) + 1)).alias(f"z{i}") for i in range(k)]
+    by = stored(by.select("h", *z).where(" or ".join(f"z{i} > 2.5" for i in range(k))), "features")
+    best = [by.where(f"z{i} > 2.5").orderBy(F.desc(f"z{i}"), "h").limit(n_features).select("h") for i in range(k)]  # the feature: the best of each category
+    out = [r["h"] for b in best for r in b.collect()]
+    return np.unique(np.array(out, np.int64).view(np.uint64))
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATEGORIES, max_rows: int = MAX_ROWS) -> Chain:
     """labels: doc_id and an int column for each category."""
-    marked = labels.dropna(subset=["doc_id", *categories]).groupBy("doc_id").agg(*(F.max(c).cast("int").alias(c) for c in categories))
-    marked = marked.withColumn("_o", F.xxhash64("doc_id")).orderBy("_o", "doc_id").limit(max_rows)
-    marked = marked.select(F.col("doc_id").alias("_id"), F.array(*categories).alias("_y"))
+    k = len(categories)
+    marked = labels.dropna(subset=["doc_id", *categories]).select(F.col("doc_id").alias("_id"), *(F.col(c).cast("int").alias(f"c{i}") for i, c in enumerate(categories)))
+    marked = marked.groupBy("_id").agg(*(F.max(f"c{i}").alias(f"c{i}") for i in range(k)))
+    marked = marked.orderBy(F.xxhash64("_id"), "_id").limit(max_rows).select("_id", F.array(*(f"c{i}" for i in range(k))).alias("_y"))
     texts = docs.select("doc_id", "text").join(F.broadcast(marked), F.col("doc_id") == F.col("_id"))  # at most max_rows ids
-    rows = texts.select("doc_id", "text", "_y").mapInArrow(_training_rows, "doc_id long, y array<int>, hashes binary").collect()
-    rows = sorted({r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["hashes"]))}.values(), key=lambda r: r["doc_id"])
-    hashes = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
-    row = np.repeat(np.arange(len(rows)), [len(h) for h in hashes])
-    y = np.array([r["y"] for r in rows], np.float64).reshape(len(rows), len(categories))
-    return fit_chain(row, np.concatenate(hashes) if rows else np.empty(0, np.uint64), y, categories)
+    one = texts.groupBy("doc_id").agg(F.max_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("_y").alias("y"))
+    rows = stored(one.select("doc_id", "text", "y").mapInArrow(_training_rows, "doc_id long, y array<int>, hashes array<long>"), "training")
+    vocabulary = choose(rows, k)
+    got = rows.mapInArrow(_columns(vocabulary.tobytes()), "doc_id long, y array<int>, cols binary").orderBy("doc_id").collect()  # at most max_rows rows of chosen features
+    cols = [np.frombuffer(r["cols"], np.int32) for r in got]
+    y = np.array([r["y"] for r in got], np.float64).reshape(len(got), k)
+    x = Sparse(np.repeat(np.arange(len(got), dtype=np.int32), [len(c) for c in cols]), np.concatenate(cols) if cols else np.empty(0, np.int32), (len(got), len(vocabulary)))
+    return fit_chain(x, vocabulary, y, categories)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -235,5 +257,6 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those the chain finds toxic."""
-    scored = score(docs, train(docs, query_labels(labels))).where("is_toxic = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(scored, F.col("doc_id") == F.col("_id"), "left_anti")
+    own = fresh(docs, "toxic_id")
+    scored = score(docs, train(docs, query_labels(labels))).where("is_toxic = 1").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(scored, F.col("doc_id") == F.col(own), "left_anti")
