@@ -65,12 +65,13 @@ def cover_ranks(first: np.ndarray, depth: int) -> list[np.ndarray]:
     return levels
 
 
-def sort_suffixes(starts: np.ndarray, first: np.ndarray, deep: np.ndarray) -> np.ndarray:
-    """The suffixes of one bucket in order: by 31 bytes, then, in ties, by a quicksort on the cover's ranks."""
-    order = starts[np.argsort(first[starts], kind="stable")]
+def sort_suffixes(starts: np.ndarray, first: np.ndarray, deep: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes, buckets): one bucket after another, each sorted by 31 bytes, then, in ties, by a quicksort on the cover's ranks."""
+    sub = np.lexsort((first[starts], bucket))
+    order, bucket = starts[sub], bucket[sub]
     n = len(first) - 1
     new = np.ones(len(order), bool)
-    new[1:] = first[order[1:]] != first[order[:-1]]
+    new[1:] = (first[order[1:]] != first[order[:-1]]) | (bucket[1:] != bucket[:-1])
     group = np.cumsum(new)
     active = np.arange(len(order))
     while len(active):
@@ -93,22 +94,26 @@ def sort_suffixes(starts: np.ndarray, first: np.ndarray, deep: np.ndarray) -> np
         code = (index * 3 + side)[sub]
         group[active] = code
         active = active[side[sub] != 1]
-    return order
+    return order, bucket
 
 
-def repeated(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """For each start (a window of ``length`` >= 62 bytes inside ``text``): whether its bytes equal another start's."""
+def repeated(text: np.ndarray, starts: np.ndarray, length: int, bucket: np.ndarray | None = None) -> np.ndarray:
+    """For each start (a window of ``length`` >= 62 bytes inside ``text``): whether its bytes equal another start's of its bucket.
+
+    The cover sample's ranks are computed once for the text; buckets (ascending numbers) are then sorted with them.
+    """
+    bucket = np.zeros(len(starts), np.int64) if bucket is None else bucket
     if len(starts) < 2:
         return np.zeros(len(starts), bool)
     first = prefix_ranks(text)
     levels = cover_ranks(first, length)
-    order = sort_suffixes(starts, first, levels[-1])
+    order, bucket = sort_suffixes(starts, first, levels[-1], bucket)
     a, b = order[:-1], order[1:]
     level = max(i for i in range(len(levels)) if V << i <= length - V + 1)
     size, d = V << level, SHIFT[a % V, b % V]
     r = levels[level]
     step = (length - size - d) // V * V
-    same = (first[a] == first[b]) & (r[a + d] == r[b + d]) & (r[a + d + step] == r[b + d + step]) & (first[a + length - V] == first[b + length - V])
+    same = (first[a] == first[b]) & (r[a + d] == r[b + d]) & (r[a + d + step] == r[b + d + step]) & (first[a + length - V] == first[b + length - V]) & (bucket[1:] == bucket[:-1])
     hit = np.zeros(len(first), bool)
     hit[a[same]] = True
     hit[b[same]] = True

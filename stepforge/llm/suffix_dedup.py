@@ -2,11 +2,17 @@
 
 A difference-cover suffix array is built block by block (``suffix_array``).  Its buckets are not cut by the suffixes'
 first bytes but by the least hash of their 64-byte grams, which equal strings share and which is known from one scan.
-Buckets of a single suffix range can't hold repeats and are left out before any text moves; the rest are sorted one
-block of buckets at a time, long ties being resolved by the cover sample's ranks.
+A range is a run of windows of one text in one bucket; its hull is the text they cover.  Ranges with equal hulls are
+repeats as they stand; of each hull one range stands for all in the sort, and buckets of a single place are left out
+before any text moves.  The rest are sorted one block of buckets at a time, by bucket and suffix, long ties being
+resolved by the ranks of the block's cover sample.  A bucket of too many different hulls (a passage in very many
+contexts) is divided by longer grams, which equal strings share too, until each part fits or holds one window only; so
+no bucket is dealt at random, and its rows grow with its places, not with their square.
 
 Defined cases: a null text is empty; texts shorter than ``length`` keep everything; rows repeated with the same
-doc_id are separate texts (and so remove each other); extra columns are ignored.  Texts are named by 64-bit hashes.
+doc_id are separate texts (and so remove each other); rows with a null doc_id are texts like others; without documents
+nothing is returned; extra columns are ignored by ``dedup`` and kept, whatever their names, by ``strip_repeats``.
+Texts are named by 128 bits, equal hulls by two independent 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -20,79 +26,136 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepforge.llm import rolling, suffix_array, windows
-from stepforge.llm.common import stored, table, text_keys
+from stepforge.llm.common import fresh, stored, table, text_keys
 
 LENGTH = 400
 #: Bytes of the grams whose least hash names a bucket.
 GRAM = 64
-#: Rows of one bucket that one task sorts together; larger buckets are dealt to several and meet again by window hashes.
+#: Different hulls of one bucket that are sorted together; larger buckets are divided by grams shorter than the window by FINER bytes.
 MOST = 4096
-BLOCK = 4 << 20
-CUT = "tk long, n_removed long, n_spans long, kept_sha256 string, kept string"
-FOUND = "tk long, s int, e int, h1 long, h2 long, found boolean"
-
-
-def _sort_block(rows: list[tuple], length: int, out: list[list]) -> None:
-    """rows: (g, salt, tk, a, ctx, salts) of whole buckets."""
-    distinct: dict[tuple, list[int]] = {}
-    for i, r in enumerate(rows):
-        distinct.setdefault((r[0], r[1], r[4]), []).append(i)
-    per_group: dict[tuple, int] = {}
-    for g, salt, _ in distinct:
-        per_group[g, salt] = per_group.get((g, salt), 0) + 1
-    # A bucket with one distinct context needs sorting only if the context is longer than one window.
-    keys = list(distinct)
-    text = np.frombuffer(b"".join(k[2] for k in keys), np.uint8)
-    lens = np.array([len(k[2]) for k in keys])
-    offsets = np.concatenate(([0], np.cumsum(lens)))
-    sort = np.array([per_group[k[0], k[1]] > 1 or (len(distinct[k]) == 1 and len(k[2]) > length) for k in keys])
-    n_starts = lens - length + 1
-    base = np.concatenate(([0], np.cumsum(n_starts)))
-    starts = np.arange(base[-1]) - np.repeat(base[:-1] - offsets[:-1], n_starts)
-    hit = np.repeat(np.array([len(distinct[k]) > 1 for k in keys]), n_starts)
-    need = np.repeat(sort, n_starts)
-    if need.any():
-        part = np.flatnonzero(sort)
-        sub = np.concatenate([text[offsets[i] : offsets[i + 1]] for i in part])
-        shift = np.concatenate(([0], np.cumsum(lens[part])))[:-1]
-        sub_starts = starts[need] - np.repeat(offsets[part] - shift, n_starts[part])
-        hit[need] |= suffix_array.repeated(sub, sub_starts, length)
-    salted = [i for i, k in enumerate(keys) if rows[distinct[k][0]][5] > 1]
-    for i, k in enumerate(keys):
-        lo, hi = rolling.runs(hit[base[i] : base[i + 1]])
-        for j in distinct[k]:
-            _, _, tk, a, _, _ = rows[j]
-            for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
-                out.append([tk, a + x, a + y - 1 + length, None, None, None])
-    for i in salted:
-        k = keys[i]
-        _, _, tk, a, ctx, _ = rows[distinct[k][0]]
-        units = np.frombuffer(ctx, np.uint8)
-        h = [rolling.grams(rolling.prefix(rolling.byte_units(units, w), w), length, w).view(np.int64).tolist() for w in (0, 1)]
-        flags = hit[base[i] : base[i + 1]].tolist()
-        for j, (x, y, f) in enumerate(zip(h[0], h[1], flags, strict=True)):
-            out.append([tk, a + j, a + j + length, x, y, f])
+FINER = (48, 6, 0)
+BLOCK = 2 << 20
+KEY = ["k1", "k2"]
+RANGES = "g long, k1 long, k2 long, a int, b int, hull long, inner boolean"
+CONTEXTS = "g long, k1 long, k2 long, a int, ctx binary"
+FOUND = "k1 long, k2 long, s int, e int"
+CUT = "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
-def _sorter(length: int, limit: int) -> Callable:
-    schema = pa.schema([("tk", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("found", pa.bool_())])
+def _batch(schema: str, columns: list) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _ranges(length: int, k: int) -> Callable:
+    """(k1, k2, text) to the ranges of its windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for first, end, data, offsets in rolling.chunks(batch.column(2)):
+                text, g, a, b, inner = rolling.anchors(rolling.prefix(rolling.byte_units(data)), offsets, length, k)
+                if len(text):
+                    p = rolling.prefix(rolling.byte_units(data, 1), 1)
+                    hull = rolling.span(p, offsets[text] + a, offsets[text] + b + length, 1)
+                    yield _batch(RANGES, [g.view(np.int64), k1[first:end][text], k2[first:end][text], a, b, hull.view(np.int64), inner])
+
+    return run
+
+
+def _structs(lists: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets by row, and the fields, of a column of arrays of structs."""
+    flat, at = lists.flatten(), np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+    return at, [flat.field(i).to_numpy(zero_copy_only=False) for i in range(flat.type.num_fields)]
+
+
+def _divided(length: int, k: int) -> Callable:
+    """(k1, k2, text, ranges of (g, a, b)) to the parts of these ranges by the least hash of longer grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            at, (g, a, b) = _structs(batch.column(3))
+            for first, end, data, offsets in rolling.chunks(batch.column(2)):
+                text = np.repeat(np.arange(end - first), np.diff(at[first : end + 1]))
+                own = slice(int(at[first]), int(at[end]))
+                lo, hi = offsets[text] + a[own], offsets[text] + b[own]
+                order = np.argsort(lo, kind="stable")
+                text, lo, hi, parent = text[order], lo[order], hi[order], g[own][order].view(np.uint64)
+                owner, fine, x, y, inner = rolling.anchors(rolling.prefix(rolling.byte_units(data)), offsets, length, k)
+                x, y = offsets[owner] + x, offsets[owner] + y
+                head, tail = np.searchsorted(y, lo, "left"), np.searchsorted(x, hi, "right")
+                count = tail - head
+                row = np.repeat(np.arange(len(lo)), count)
+                part = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + head[row]
+                s, e, inner = np.maximum(x[part], lo[row]), np.minimum(y[part], hi[row]), inner[part]
+                hull = rolling.span(rolling.prefix(rolling.byte_units(data, 1), 1), s, e + length, 1)
+                name = rolling.mix(parent[row] * np.uint64(0x9E3779B97F4A7C15) + fine[part])
+                base = offsets[text[row]]
+                if len(row):
+                    yield _batch(RANGES, [name.view(np.int64), k1[first:end][text[row]], k2[first:end][text[row]], s - base, e - base, hull.view(np.int64), inner & (e > s)])
+
+    return run
+
+
+def _contexts(length: int) -> Callable:
+    """(k1, k2, text, ranges of (g, a, b)) to the bytes that the windows of each range cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in windows.groups(batches, limit):
-            out: list[list] = []
-            _sort_block(block, length, out)
+        for batch in batches:
+            k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            at, (g, a, b) = _structs(batch.column(3))
+            for first, end, data, offsets in rolling.chunks(batch.column(2)):
+                text = np.repeat(np.arange(end - first), np.diff(at[first : end + 1])) + first
+                whole, low = data.tobytes(), int(at[first])
+                for i in range(0, len(text), 4096):
+                    t, own = text[i : i + 4096], slice(low + i, low + min(len(text), i + 4096))
+                    s = offsets[t - first] + a[own]
+                    e = offsets[t - first] + b[own] + length
+                    yield _batch(CONTEXTS, [g[own], k1[t], k2[t], a[own], [whole[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)]])
+
+    return run
+
+
+def _sort_block(rows: list[tuple], length: int) -> list[tuple]:
+    """Rows (g, k1, k2, a, ctx) of whole buckets to the spans (k1, k2, s, e) of their repeated strings."""
+    lens = np.array([len(r[4]) for r in rows])
+    text = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
+    n = lens - length + 1
+    base = np.concatenate(([0], np.cumsum(n)))
+    starts = np.arange(base[-1]) - np.repeat(base[:-1] - (np.cumsum(lens) - lens), n)
+    names = np.array([r[0] for r in rows], np.int64)
+    bucket = np.repeat(np.cumsum(np.concatenate(([0], names[1:] != names[:-1]))), n)
+    lo, hi = rolling.runs(suffix_array.repeated(text, starts, length, bucket))
+    out = []
+    for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
+        row = int(np.searchsorted(base, x, "right")) - 1
+        while x < y:  # a run may go on in the next row
+            end = min(y, int(base[row + 1]))
+            _, k1, k2, a, _ = rows[row]
+            out.append((k1, k2, a + x - int(base[row]), a + end - int(base[row]) - 1 + length))
+            x, row = end, row + 1
+    return out
+
+
+def _sorter(length: int, limit: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in windows.groups(batches, limit, 1):
+            out = _sort_block(block, length)
             for i in range(0, len(out), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 50_000], strict=True), schema, strict=True)], schema=schema)
+                yield _batch(FOUND, list(zip(*out[i : i + 50_000], strict=True)))
 
     return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tk, text, spans) to what is left of each text."""
+    """(k1, k2, text, whole, spans) to what is left of each text."""
     for batch in batches:
-        out = []
-        for tk, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            raw = text.encode()
+        out, size = [], 0
+        columns = [batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), batch.column(3), batch.column(4)]
+        for k1, k2, raw, whole, spans in zip(*(c.to_pylist() for c in columns), strict=True):
+            spans = [*(whole or ()), *(spans or ())]
             cuts = rolling.merged(np.array([x["s"] for x in spans]), np.array([x["e"] for x in spans]))
             kept, at = [], 0
             for a, b in cuts:
@@ -100,57 +163,87 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = b
             kept.append(raw[at:])
             rest = b"".join(kept)
-            out.append((tk, len(raw) - len(rest), len(cuts), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        names = ("tk", "n_removed", "n_spans", "kept_sha256", "kept")
+            out.append((k1, k2, len(raw) - len(rest), len(cuts), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
+            size += len(rest)
+            if size > 8 << 20:
+                yield _batch(CUT, list(zip(*out, strict=True)))
+                out, size = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=list(names))
+            yield _batch(CUT, list(zip(*out, strict=True)))
+
+
+def _judged(ranges: DataFrame, most: int, last: bool) -> DataFrame:
+    """ranges (distinct) of buckets with more than one place or a self-repeat: g, k1, k2, a, b, whole, sort, hot.
+
+    whole: equal hulls are repeats; sort: stands for its hull in its bucket's sort; hot: in the division of its bucket.
+    """
+    place, name = F.struct(*KEY, "a"), ["g", "hull", "w"]
+    ranges = ranges.withColumn("w", F.col("b") - F.col("a"))
+    hulls = ranges.groupBy(*name).agg(F.min(place).alias("p"), F.max(place).alias("q"), F.max("inner").alias("inner"))
+    buckets = hulls.groupBy("g").agg(F.count("*").alias("m"), F.min("p").alias("low"), F.max("q").alias("high"))
+    hulls = hulls.withColumn("many", F.col("p") != F.col("q")).join(buckets, "g")
+    if last:  # a bucket is one window, or a run of equal ones
+        hulls = hulls.select(*name, "p", ((F.col("low") != F.col("high")) | (F.col("w") > 0)).alias("whole"), F.lit(False).alias("sort"), F.lit(False).alias("hot"))
+    else:
+        more = (F.col("m") > 1) | (F.col("inner") & ~F.col("many"))
+        hulls = hulls.select(*name, "p", F.col("many").alias("whole"), (more & (F.col("m") <= most)).alias("sort"), (more & (F.col("m") > most)).alias("hot"))
+    hulls = hulls.where("whole or sort or hot")
+    first = place == F.col("p")
+    out = ranges.join(hulls, name).select("g", *KEY, "a", "b", "whole", (F.col("sort") & first).alias("sort"), (F.col("hot") & first).alias("hot"))
+    return out.where("whole or sort or hot")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(texts, cuts) of docs (doc_id, text).
 
-    texts: tk, doc_id (the least), copies for every distinct text.  cuts: tk, text, spans (array of s, e; bytes
-    covered by a repeated string, unmerged) for distinct texts that hold such bytes and aren't whole copies.
+    texts: k1, k2, doc_id (the least), copies for every distinct text.  cuts: k1, k2, text, whole and spans (arrays of s,
+    e; bytes covered by a repeated string, unmerged) for distinct texts that hold such bytes and aren't whole copies.
     """
-    tk = text_keys(F.col("text"))[0]
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tk", tk)
-    texts = stored(rows.select("tk", "doc_id").groupBy("tk").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "texts")
-    ranges = stored(rows.where(F.octet_length("text") >= length).select("tk", "text").mapInArrow(windows.range_rows(length, gram, "byte"), windows.RANGES), "ranges")
-    place = F.struct("tk", "a")
-    buckets = ranges.groupBy("g").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.max("inner").alias("inner"), F.count("*").alias("n")).where("p <> q or inner").select("g", "n")
-    buckets = windows.salted(buckets, most).select("g", "salts")
-    flagged = ranges.select("g", "tk", "a", "b").join(buckets, "g").distinct()
-    lists = flagged.withColumn("salt", F.pmod(F.xxhash64("tk", "a"), F.col("salts")).cast("int")).groupBy("tk").agg(F.collect_list(F.struct("g", F.struct("salt", "salts").alias("part"), "a", "b")).alias("ranges"))
-    lists = lists.join(texts, "tk")
-    candidates = stored(
-        rows.alias("r").join(lists.alias("l"), (F.col("r.tk") == F.col("l.tk")) & F.col("r.doc_id").eqNullSafe(F.col("l.doc_id"))).select("r.tk", "r.text", "l.ranges", "l.copies"),
-        "candidates",
-    )
-    flat = F.transform("ranges", lambda x: F.struct(x["g"], x["part"]["salt"], x["a"], x["b"]))
-    contexts = candidates.select(F.col("tk").alias("doc_id"), "text", flat.alias("ranges")).mapInArrow(windows.context_rows(length, "byte"), windows.CONTEXTS)
-    contexts = contexts.select("g", "salt", F.col("doc_id").alias("tk"), "a", "ctx")
-    # how many parts a bucket has follows from the salt only for split ones; join it back where there are any
-    parted = buckets.where("salts > 1")
-    contexts = contexts.join(F.broadcast(parted) if parted.limit(10_001).count() <= 10_000 else parted, "g", "left").select("g", "salt", "tk", "a", "ctx", F.coalesce("salts", F.lit(1)).alias("salts"))
-    found = stored(contexts.repartition("g", "salt").sortWithinPartitions("g", "salt").mapInArrow(_sorter(length, block), FOUND), "found")
-    met = found.where("h1 is not null").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.collect_list(F.when(~F.col("found"), F.struct("tk", "s", "e"))).alias("at")).where("n > 1")
-    spans = found.where("h1 is null").select("tk", "s", "e").union(met.select(F.explode("at").alias("x")).select("x.*"))
-    cuts = spans.groupBy("tk").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return texts, candidates.where("copies = 1").select("tk", "text").join(cuts, "tk")
+    k1, k2 = text_keys(F.col("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"k1": k1, "k2": k2})
+    texts = stored(rows.groupBy(*KEY).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "texts")
+    long = rows.where(F.octet_length("text") >= length)
+    ranges = stored(long.select(*KEY, "text").mapInArrow(_ranges(length, gram), RANGES), "ranges")
+    place = F.struct(*KEY, "a")
+    buckets = ranges.groupBy("g").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.max("inner").alias("inner")).where("p <> q or inner").select("g")
+    judged = _judged(stored(ranges.join(buckets, "g").distinct(), "flagged"), most, False)
+    span, part = F.struct(F.col("a").alias("s"), (F.col("b") + length).alias("e")), F.struct("g", "a", "b")
+    lists = judged.groupBy(*KEY).agg(*(F.collect_list(F.when(F.col(c), x)).alias(c) for c, x in (("whole", span), ("sort", part), ("hot", part))))
+    lists = lists.join(texts, KEY)
+    same = (F.col("r.k1") == F.col("l.k1")) & (F.col("r.k2") == F.col("l.k2")) & F.col("r.doc_id").eqNullSafe(F.col("l.doc_id"))
+    candidates = stored(long.alias("r").join(lists.alias("l"), same).select("r.k1", "r.k2", "r.text", "l.whole", "l.sort", "l.hot", "l.copies"), "candidates")
+    contexts = candidates.where("size(sort) > 0").select(*KEY, "text", "sort").mapInArrow(_contexts(length), CONTEXTS)
+    spans = None
+    hot = candidates.where("size(hot) > 0").select(*KEY, "text", "hot")
+    for step in (x for x in FINER if length - x > gram):
+        if not hot.limit(1).count():
+            break
+        parts = stored(hot.mapInArrow(_divided(length, length - step), RANGES).distinct(), "parts")
+        judged = stored(_judged(parts, most, step == 0), "judged")
+        own = judged.where("whole").select(*KEY, F.col("a").alias("s"), (F.col("b") + length).alias("e"))
+        spans = own if spans is None else spans.union(own)
+        again = judged.where("sort or hot").groupBy(*KEY).agg(*(F.collect_list(F.when(F.col(c), part)).alias(c) for c in ("sort", "hot")))
+        again = stored(hot.select(*KEY, "text").join(again, KEY), "again")
+        contexts = contexts.union(again.where("size(sort) > 0").select(*KEY, "text", "sort").mapInArrow(_contexts(length), CONTEXTS))
+        hot = again.where("size(hot) > 0").select(*KEY, "text", "hot")
+    found = stored(contexts.repartition("g").sortWithinPartitions("g").mapInArrow(_sorter(length, block), FOUND), "found")
+    spans = found if spans is None else found.union(spans)
+    cuts = spans.groupBy(*KEY).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    cuts = candidates.where("copies = 1").select(*KEY, "text", "whole").join(cuts, KEY, "left").where("size(whole) > 0 or spans is not null")
+    return texts, cuts
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, **how: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs (doc_id, text)."""
     texts, cuts = repeats(docs, length, **how)
-    cut = cuts.select("tk", "text", "spans").mapInArrow(_cut, CUT).drop("kept")
-    tk = text_keys(F.col("text"))[0]
+    cut = cuts.select(*KEY, "text", "whole", "spans").mapInArrow(_cut, CUT).drop("kept")
+    k1, k2 = text_keys(F.col("text"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", tk.alias("tk"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    rows = rows.select("doc_id", k1.alias("k1"), k2.alias("k2"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     whole = F.when((F.col("copies") > 1) & (F.col("n_bytes") >= length), True)
     return (
-        rows.join(texts.select("tk", "copies"), "tk")
-        .join(cut, "tk", "left")
+        rows.join(texts.select(*KEY, "copies"), KEY)
+        .join(cut, KEY, "left")
         .select(
             "doc_id",
             "n_bytes",
@@ -168,15 +261,15 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, **how: int) -> DataFram
     broken are dropped.
     """
     texts, cuts = repeats(docs, length, **how)
-    cut = cuts.select("tk", "text", "spans").mapInArrow(_cut, CUT).select(F.col("tk").alias("_tk"), F.col("kept").alias("_kept"))
-    rows = docs.withColumn("_tk", text_keys(F.col("text"))[0])
-    whole = texts.where("copies > 1").select(F.col("tk").alias("_tk"), F.lit("").alias("_gone"))
-    rows = rows.join(cut, "_tk", "left").join(whole, "_tk", "left")
-    gone = F.when(F.octet_length("text") >= length, F.col("_gone"))
-    rows = rows.withColumn("_kept", F.coalesce("_kept", gone)).where("_kept is null or _kept <> ''")
-    rows = rows.withColumn("text", F.coalesce("_kept", "text"))
+    a, b, kept, gone = (fresh(docs, c) for c in ("text_key1", "text_key2", "kept_text", "whole_copy"))
+    cut = cuts.select(*KEY, "text", "whole", "spans").mapInArrow(_cut, CUT).select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("kept").alias(kept))
+    copied = texts.where("copies > 1").select(F.col("k1").alias(a), F.col("k2").alias(b), F.lit("").alias(gone))
+    k1, k2 = text_keys(F.col("text"))
+    rows = docs.withColumns({a: k1, b: k2}).join(cut, [a, b], "left").join(copied, [a, b], "left")
+    rows = rows.withColumn(kept, F.coalesce(kept, F.when(F.octet_length("text") >= length, F.col(gone)))).where(F.col(kept).isNull() | (F.col(kept) != ""))
+    rows = rows.withColumn("text", F.coalesce(kept, "text"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        rows = rows.withColumn("n_chars", F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return rows.select(*docs.columns)
 
 

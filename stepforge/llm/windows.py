@@ -73,17 +73,17 @@ def context_rows(length: int, unit: str) -> Callable:
 CONTEXTS = "g long, salt int, doc_id long, a int, ctx binary"
 
 
-def groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tuple]]:
-    """Blocks of whole (g, salt) groups, from rows sorted by them, of about ``limit`` bytes of contexts."""
+def groups(batches: Iterator[pa.RecordBatch], limit: int, keys: int = 2) -> Iterator[list[tuple]]:
+    """Blocks of whole groups, from rows sorted by their first ``keys`` columns, of about ``limit`` bytes of contexts."""
     block: list[tuple] = []
     size, last = 0, None
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:2] != last:
+            if row[:keys] != last:
                 if size >= limit:
                     yield block
                     block, size = [], 0
-                last = row[:2]
+                last = row[:keys]
             block.append(row)
             size += len(row[4]) + 100
     if block:

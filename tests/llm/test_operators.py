@@ -78,6 +78,17 @@ def test_suffix_dedup(docs, empty, most):
                 assert hashlib.sha256(kept[i].encode()).hexdigest() == sha
 
 
+@pytest.mark.parametrize("most", [2, 7])
+def test_suffix_dedup_divides_hot_buckets(spark, most):
+    r = np.random.default_rng(5)
+    passage, long = prose(85, 70), prose(140, 71)
+    rows = [(i, prose(int(r.integers(3, 60)), 300 + i) + " " + passage[int(r.integers(0, 60)) :] + " " + prose(int(r.integers(3, 60)), 400 + i)) for i in range(24)]
+    rows += [(100 + i, long.replace(long.split()[int(r.integers(0, 140))], f"w{i}", 1)) for i in range(24)]
+    rows += [(200, "a" * 900), (201, "b" + "a" * 600), (202, "a" * 400), (203, "ab" * 300), (204, "x" + "ab" * 250), (205, "é" * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert key(suffix_dedup.dedup(df, most=most).collect()) == key(brute6(rows, 400))
+
+
 def test_suffix_array():
     r = np.random.default_rng(0)
     for _ in range(40):
