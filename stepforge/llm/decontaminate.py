@@ -11,7 +11,9 @@ the item and the text around the passage, and by the part of the item's end (its
 The benchmark is the stated query set: it is read to the driver and sent to the executors in blocks of at most
 ``BLOCK`` items.  What one task sends back is a matrix of (words of the block) x ``RANK``, summed in two levels.
 Defined cases: null and empty texts and items match nothing; items without rare words are compared by their common
-ones; items repeated with one id are compared each; rows repeated with one doc_id count once; extra columns are ignored.
+ones; items repeated with one id are compared each; without items or documents nothing matches; in ``matches`` rows
+repeated with one doc_id (null ones too) count once and extra columns are ignored; ``clean`` judges each row by its own
+text and keeps extra columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -234,47 +236,68 @@ def leaked(share: float, answer: float) -> bool:
     return share >= COPY or (share >= PARAPHRASE and answer >= ANSWER)
 
 
-def _search(words: bytes, idf_raw: bytes, basis_raw: bytes, rank: int, items: list[Item], latent_raw: bytes, parts: tuple[np.ndarray, ...]) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _finder(words: bytes, idf_raw: bytes, basis_raw: bytes, rank: int, items: list[Item], latent_raw: bytes, parts: tuple[np.ndarray, ...]) -> Callable:
+    """A function from a column of texts to (first row, {(row after it, item): (lcs, share, answer, cosine)}) of its chunks."""
+
+    def run(column: pa.Array) -> Iterator[tuple[int, dict]]:
         find, idf = Lookup(np.frombuffer(words, np.uint64)), np.frombuffer(idf_raw)
         basis = np.frombuffer(basis_raw, np.float32).reshape(-1, rank)
         latent = np.frombuffer(latent_raw, np.float32).reshape(-1, rank)
         first_piece, piece, piece_share, piece_item = parts
         rows_at_once = max(1, min(8192, (1 << 21) // len(piece_item)))
+        for first, _, data, offsets in rolling.chunks(column, 1 << 20):
+            h, woff = text_words(data, offsets)
+            at = find(h)
+            hit = np.flatnonzero(at >= 0)
+            hit = hit[idf[at[hit]] > 0]
+            if not len(hit):
+                continue
+            text, start, entry, owner = passages(woff, hit)
+            weight, _ = vectors(at[hit], idf, entry, owner, len(start))
+            y = _sum_rows(basis[at[hit][entry]] * weight[:, None].astype(np.float32), owner)
+            once = np.unique(owner * len(idf) + at[hit][entry])
+            once_owner, once_word = once // len(idf), once % len(idf)
+            best: dict[tuple[int, int], tuple] = {}
+            for i in range(0, len(y), rows_at_once):
+                cosine = y[i : i + rows_at_once] @ latent.T
+                candidate = cosine >= COSINE
+                a, b = np.searchsorted(once_owner, (i, i + len(cosine)))
+                p, k = np.nonzero(held(first_piece, piece, piece_share, len(piece_item), once_word[a:b], once_owner[a:b] - i, len(cosine)) >= HELD)
+                candidate[p, piece_item[k]] = True
+                for p, q in zip(*np.nonzero(candidate), strict=True):
+                    item, t = items[q], int(text[i + p])
+                    m = len(item.words)
+                    lo = max(int(woff[t]), int(woff[t] + start[i + p]) - m)
+                    hi = min(int(woff[t + 1]), int(woff[t] + start[i + p]) + 2 * STEP + m)
+                    got, share, answer = item.check(h[lo:hi].tolist())
+                    if leaked(share, answer):
+                        row = (got, share, answer, float(cosine[p, q]))
+                        best[t, int(q)] = max(best.get((t, int(q)), row), row)
+            if best:
+                yield first, best
+
+    return run
+
+
+def _hits(found: Callable, items: list[Item]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, _, data, offsets in rolling.chunks(batch.column(1), 1 << 20):
-                h, woff = text_words(data, offsets)
-                at = find(h)
-                hit = np.flatnonzero(at >= 0)
-                hit = hit[idf[at[hit]] > 0]
-                if not len(hit):
-                    continue
-                text, start, entry, owner = passages(woff, hit)
-                weight, _ = vectors(at[hit], idf, entry, owner, len(start))
-                y = _sum_rows(basis[at[hit][entry]] * weight[:, None].astype(np.float32), owner)
-                once = np.unique(owner * len(idf) + at[hit][entry])
-                once_owner, once_word = once // len(idf), once % len(idf)
-                best: dict[tuple[int, int], tuple] = {}
-                for i in range(0, len(y), rows_at_once):
-                    cosine = y[i : i + rows_at_once] @ latent.T
-                    candidate = cosine >= COSINE
-                    a, b = np.searchsorted(once_owner, (i, i + len(cosine)))
-                    p, k = np.nonzero(held(first_piece, piece, piece_share, len(piece_item), once_word[a:b], once_owner[a:b] - i, len(cosine)) >= HELD)
-                    candidate[p, piece_item[k]] = True
-                    for p, q in zip(*np.nonzero(candidate), strict=True):
-                        item, t = items[q], int(text[i + p])
-                        m = len(item.words)
-                        lo = max(int(woff[t]), int(woff[t] + start[i + p]) - m)
-                        hi = min(int(woff[t + 1]), int(woff[t] + start[i + p]) + 2 * STEP + m)
-                        got, share, answer = item.check(h[lo:hi].tolist())
-                        if leaked(share, answer):
-                            row = (got, share, answer, float(cosine[p, q]))
-                            best[t, int(q)] = max(best.get((t, int(q)), row), row)
-                if best:
-                    ids = batch.column(0).slice(first)
-                    rows = [(ids[t].as_py(), items[q].item_id, *r) for (t, q), r in sorted(best.items())]
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "lcs", "share", "answer", "cosine"])
+            for first, best in found(batch.column(1)):
+                ids = batch.column(0).slice(first)
+                rows = [(ids[t].as_py(), items[q].item_id, *r) for (t, q), r in sorted(best.items())]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "lcs", "share", "answer", "cosine"])
+
+    return run
+
+
+def _kept(found: Callable) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for first, best in found(batch.column(batch.schema.get_field_index("text"))):
+                keep[[first + t for t, _ in best]] = False
+            yield batch.filter(pa.array(keep))
 
     return run
 
@@ -284,16 +307,23 @@ HITS = "doc_id long, item_id long, lcs int, share double, answer double, cosine
 
 def matches(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
     """doc_id, item_id, lcs, share, answer, cosine of every text of docs (doc_id, text) that holds an item of benchmark (item_id, text)."""
-    spark = docs.sparkSession
-    rows = benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").collect()
-    out = None
-    for i in range(0, max(1, len(rows)), BLOCK):
-        part = _matches_of(docs, rows[i : i + BLOCK], rank)
-        out = part if out is None else out.unionByName(part) if part is not None else out
-    return spark.createDataFrame([], HITS) if out is None else out
+    out = docs.sparkSession.createDataFrame([], HITS)
+    for found, items in finders(docs, benchmark, rank):
+        part = docs.select("doc_id", "text").mapInArrow(_hits(found, items), HITS)
+        out = out.unionByName(part.groupBy("doc_id", "item_id").agg(*(F.max(F.struct("lcs", "share", "answer", "cosine"))[c].alias(c) for c in ("lcs", "share", "answer", "cosine"))))
+    return out
+
+
+def finders(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Iterator[tuple[Callable, list[Item]]]:
+    """For each block of the benchmark's items: the function that finds them in texts, by the latent space of docs, and the items."""
+    rows = benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").collect()  # the stated query set
+    for i in range(0, len(rows), BLOCK):
+        found = _finder_of(docs, rows[i : i + BLOCK], rank)
+        if found is not None:
+            yield found
 
 
-def _matches_of(docs: DataFrame, rows: list, rank: int) -> DataFrame | None:
+def _finder_of(docs: DataFrame, rows: list, rank: int) -> tuple[Callable, list[Item]] | None:
     raw = [r["text"].encode() for r in rows]
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
     h, woff = text_words(np.frombuffer(b"".join(raw), np.uint8), offsets)
@@ -334,9 +364,7 @@ def _matches_of(docs: DataFrame, rows: list, rank: int) -> DataFrame | None:
     basis = np.linalg.qr(z)[0].astype(np.float32)
     latent = (b @ basis).astype(np.float32)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-6)
-    return docs.select("doc_id", "text").mapInArrow(_search(vocabulary.tobytes(), idf.tobytes(), basis.tobytes(), rank, items, latent.tobytes(), pieces(items, vocabulary, idf)), HITS).groupBy("doc_id", "item_id").agg(
-        *(F.max(F.struct("lcs", "share", "answer", "cosine"))[c].alias(c) for c in ("lcs", "share", "answer", "cosine"))
-    )
+    return _finder(vocabulary.tobytes(), idf.tobytes(), basis.tobytes(), rank, items, latent.tobytes(), pieces(items, vocabulary, idf)), items
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,6 +372,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark item."""
-    found = matches(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_id"), "left_anti")
+    """docs without the rows whose text holds a benchmark item; rows are filtered where they lie, without a join."""
+    out = docs
+    for found, _ in finders(docs, benchmark):
+        out = out.mapInArrow(_kept(found), docs.schema)
+    return out

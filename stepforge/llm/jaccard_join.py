@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from stepforge.llm import rolling
-from stepforge.llm.common import components, stored, table
+from stepforge.llm.common import components, fresh, stored, table
 
 WORDS = 5
 PERCENT = 75
@@ -465,13 +465,13 @@ def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _with_key(words: int) -> Callable:
-    """Rows with their class added (null: an empty set)."""
+def _with_key(words: int, name: str) -> Callable:
+    """Rows with their class added under that name (null: an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1 = [_key(s)[0] if len(s) else None for _, s in shingle_sets(batch.column(batch.schema.get_field_index("text")), words)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k1, pa.int64())], names=[*batch.schema.names, "_k1"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k1, pa.int64())], names=[*batch.schema.names, name])
 
     return run
 
@@ -483,21 +483,22 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     """
     classes, named = _named(docs, words, percent)
     rows = stored(classes.join(named, "k1", "left"), "named")
-    spare = rows.where("n_shingles > 0 and component < doc_id").select(F.col("doc_id").alias("_id"))
-    odd = stored(rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_id")), "odd")
+    own, key, first = fresh(docs, "spare_id"), fresh(docs, "class_key"), fresh(docs, "least_key")
+    spare = rows.where("n_shingles > 0 and component < doc_id").select(F.col("doc_id").alias(own))
+    odd = stored(rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias(own)), "odd")
     if not odd.limit(1).count():
-        return docs.join(spare, F.col("doc_id") == F.col("_id"), "left_anti")
+        return docs.join(spare, F.col("doc_id") == F.col(own), "left_anti")
     # a doc_id that is null or repeated doesn't tell the row's component: its class does
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    plain = docs.join(odd, same, "left_anti").join(spare, F.col("doc_id") == F.col("_id"), "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col(own))
+    plain = docs.join(odd, same, "left_anti").join(spare, F.col("doc_id") == F.col(own), "left_anti")
     many = docs.join(odd, same, "left_semi")
-    many = many.mapInArrow(_with_key(words), StructType([*many.schema.fields, StructField("_k1", LongType())]))
+    many = many.mapInArrow(_with_key(words, key), StructType([*many.schema.fields, StructField(key, LongType())]))
     least = rows.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1")).alias("x"))
-    least = least.select(F.col("x.doc_id").alias("_id"), F.col("x.k1").alias("_least"))
-    chosen = many.join(least, (F.col("_k1") == F.col("_least")) & same, "left_semi").dropDuplicates(["doc_id", "_k1"])
-    bare = many.where("_k1 is null")
+    least = least.select(F.col("x.doc_id").alias(own), F.col("x.k1").alias(first))
+    chosen = many.join(least, (F.col(key) == F.col(first)) & same, "left_semi").dropDuplicates(["doc_id", key])
+    bare = many.where(F.col(key).isNull())
     for part in (chosen, bare.where("doc_id is not null").dropDuplicates(["doc_id"]), bare.where("doc_id is null")):
-        plain = plain.unionByName(part.drop("_k1"))
+        plain = plain.unionByName(part.drop(key))
     return plain
 
 

@@ -2,25 +2,30 @@
 
 Documents are dealt to shards of a bounded number of rows (the number of shards grows with the input), and each shard
 is packed by itself: items in descending length go to the open bin with the least room that holds them.  The capacity
-at which bins open is optimised jointly over the permitted sizes: the shard is packed once for each policy (open at
-least at size M, for every M; or open the size that costs least for the tokens still to come), every bin is downsized
-to the least size that holds its contents, and the policy of least total cost stays.
-
-Documents longer than the largest capacity are cut in parts of it; nothing is dropped.  Defined cases: null and empty
-texts have length 0 and get no bin; null ids are packed like others; rows repeated with one doc_id are packed each;
-ties in length go by doc_id; extra columns are ignored.
+at which a bin opens depends on the least size that holds its first item, and these choices are optimised jointly: from
+the best uniform choice, coordinate descent changes the opening size of one class of items at a time, as long as the
+total cost of the shard, every bin downsized to the least size that holds its contents, goes down.  A policy that opens
+the size of least cost for the tokens still to come competes with the result.
+
+Lengths are tokens of the vocabulary of ``token_counts``, of whole texts.  Documents longer than the largest capacity
+are cut in parts of it; nothing is dropped.  Defined cases: null and empty texts have length 0 and get no bin; without
+documents there are no bins; null ids are packed like others; rows repeated with one doc_id are packed each, and dealt
+to shards by row, not by id; ties in length go by doc_id; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepforge.llm.common import table
+from stepforge.llm import rolling
+from stepforge.llm.common import stored, table
+from stepforge.llm.token_counts import VOCABULARY, count_tokens, encoder
 
 SIZES = (512, 1024, 2048, 4096, 8192)
 SHARD_ROWS = 20_000
@@ -54,25 +59,36 @@ def _fill(items: Sequence[int], opens: Callable[[int, int], int]) -> tuple[list[
     return bins, used
 
 
-def pack(items: Sequence[int], sizes: Sequence[int] = SIZES, cost: Callable[[int], float] = bin_cost) -> tuple[list[list[int]], list[int], float]:
-    """(items of each bin, its capacity, total cost) of the cheapest policy. items: descending lengths, none above the largest size."""
+def pack(items: Sequence[int], sizes: Sequence[int] = SIZES, cost: Callable[[int], float] = bin_cost, passes: int = 3) -> tuple[list[list[int]], list[int], float]:
+    """(items of each bin, its capacity, total cost) of the cheapest packing found. items: descending lengths, none above the largest size."""
     sizes = sorted(sizes)
     price = {c: cost(c) for c in sizes}
-    fits = lambda n: sizes[bisect_left(sizes, n)]
-
-    def cheapest(n: int, left: int) -> int:
-        return min((c for c in sizes if c >= n), key=lambda c: (price[c] / min(c, left), c))
+    least = lambda n: bisect_left(sizes, n)
 
-    policies: list[Callable[[int, int], int]] = [cheapest]
-    policies += [lambda n, left, m=m: max(m, fits(n)) for m in sizes]
-    best = None
-    for opens in policies:
+    def packed(opens: Callable[[int, int], int]) -> tuple[list[list[int]], list[int], float]:
         bins, used = _fill(items, opens)
-        caps = [fits(u) for u in used]
-        total = sum(price[c] for c in caps)
-        if best is None or total < best[2]:
-            best = bins, caps, total
-    return best
+        caps = [sizes[least(u)] for u in used]
+        return bins, caps, sum(price[c] for c in caps)
+
+    def by_class(choice: Sequence[int]) -> tuple[list[list[int]], list[int], float]:
+        return packed(lambda n, left: sizes[choice[least(n)]])
+
+    k = len(sizes)
+    choice, best = min((([max(i, j) for i in range(k)], by_class([max(i, j) for i in range(k)])) for j in range(k)), key=lambda x: x[1][2])
+    classes = sorted({least(n) for n in items}, reverse=True)
+    for _ in range(passes):
+        before = best[2]
+        for i in classes:
+            for j in range(i, k):
+                if j != choice[i]:
+                    other = [*choice[:i], j, *choice[i + 1 :]]
+                    got = by_class(other)
+                    if got[2] < best[2]:
+                        choice, best = other, got
+        if best[2] == before:
+            break
+    greedy = packed(lambda n, left: min((c for c in sizes if c >= n), key=lambda c: (price[c] / min(c, left), c)))
+    return greedy if greedy[2] < best[2] else best
 
 
 def _pack_shard(sizes: Sequence[int]) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -105,20 +121,31 @@ def _pack_shard(sizes: Sequence[int]) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def word_count(text: Column) -> Column:
-    """White-space separated words, as the length in tokens of a word-level model."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, length): the tokens of each whole text."""
+    with open(vocabulary, "rb") as f:
+        raw = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, under 2 MB
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = encoder(raw.value)
+        for batch in batches:
+            for first, end, data, offsets in rolling.chunks(batch.column(1)):
+                n = [count_tokens(data[offsets[i] : offsets[i + 1]].tobytes(), known) for i in range(end - first)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(n, pa.int64())], names=["doc_id", "length"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, length long")
 
 
-def pack_lengths(lengths: DataFrame, n_rows: int, sizes: Sequence[int] = SIZES, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack_lengths(lengths: DataFrame, sizes: Sequence[int] = SIZES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Bins for lengths (doc_id, length): one row for each part of a document."""
-    shards = max(1, -(-n_rows // shard_rows))
-    rows = lengths.where("length > 0").select("doc_id", "length", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("long").alias("shard"))
+    rows = stored(lengths.where("length > 0").select("doc_id", "length", F.monotonically_increasing_id().alias("row")), "lengths")
+    shards = max(1, -(-rows.count() // shard_rows))
+    rows = rows.select("doc_id", "length", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("long").alias("shard"))
     return rows.groupBy("shard").applyInPandas(_pack_shard(tuple(sizes)), SCHEMA)
 
 
-def pack_documents(docs: DataFrame, sizes: Sequence[int] = SIZES, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    return pack_lengths(docs.select("doc_id", word_count(F.col("text")).alias("length")), docs.count(), sizes, shard_rows)
+def pack_documents(docs: DataFrame, sizes: Sequence[int] = SIZES, shard_rows: int = SHARD_ROWS, vocabulary: str = VOCABULARY) -> DataFrame:
+    return pack_lengths(token_lengths(docs, vocabulary), sizes, shard_rows)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,25 +27,21 @@ def prefix_ranks(text: np.ndarray) -> np.ndarray:
     for i in range(8):
         key <<= np.uint64(8)
         key |= padded[i : i + n + 32]
-    order = np.argsort(key[:n], kind="stable")
-    k = key[order]
-    same = np.empty(n, bool)
-    same[0], same[1:] = False, k[1:] == k[:-1]
-    tie = same.copy()
-    tie[:-1] |= same[1:]
-    part = np.flatnonzero(tie)
-    if len(part):
-        # ties of eight bytes are ordered by the rest; their groups stay where they are
-        at = order[part]
-        group = np.cumsum(~same)[part]
-        sub = np.lexsort((key[at + 23], key[at + 16], key[at + 8], group))
-        at, group = at[sub], group[sub]
-        order[part] = at
-        equal = np.zeros(len(at), bool)
-        equal[1:] = (group[1:] == group[:-1]) & (key[at[1:] + 8] == key[at[:-1] + 8]) & (key[at[1:] + 16] == key[at[:-1] + 16]) & (key[at[1:] + 23] == key[at[:-1] + 23])
-        same[part] = equal
+    key = _dense(key)
+    key = _dense(key[:-8] * (n + 40) + key[8:])
     ranks = np.zeros(n + 1, np.int64)
-    ranks[order] = np.cumsum(~same)
+    ranks[:n] = _dense(key[:n] * (n + 40) + key[15 : n + 15])
+    return ranks
+
+
+def _dense(key: np.ndarray) -> np.ndarray:
+    """Ranks from 1, equal for equal keys."""
+    order = np.argsort(key)
+    k = key[order]
+    new = np.ones(len(k), np.int64)
+    new[1:] = k[1:] != k[:-1]
+    ranks = np.empty(len(k), np.int64)
+    ranks[order] = np.cumsum(new)
     return ranks
 
 
@@ -58,8 +54,7 @@ def cover_ranks(first: np.ndarray, depth: int) -> list[np.ndarray]:
         r = levels[-1]
         pair = r[at] * (n + 2) + r[np.minimum(at + step, n)]
         nxt = np.zeros(n + 1, np.int64)
-        if len(at):
-            nxt[at] = np.unique(pair, return_inverse=True)[1] + 1
+        nxt[at] = _dense(pair)
         levels.append(nxt)
         step *= 2
     return levels
@@ -67,9 +62,9 @@ def cover_ranks(first: np.ndarray, depth: int) -> list[np.ndarray]:
 
 def sort_suffixes(starts: np.ndarray, first: np.ndarray, deep: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes, buckets): one bucket after another, each sorted by 31 bytes, then, in ties, by a quicksort on the cover's ranks."""
-    sub = np.lexsort((first[starts], bucket))
-    order, bucket = starts[sub], bucket[sub]
     n = len(first) - 1
+    sub = np.argsort(bucket * (n + 1) + first[starts])
+    order, bucket = starts[sub], bucket[sub]
     new = np.ones(len(order), bool)
     new[1:] = (first[order[1:]] != first[order[:-1]]) | (bucket[1:] != bucket[:-1])
     group = np.cumsum(new)

@@ -6,13 +6,15 @@ joined as intervals with the spans of the sections.  A token that crosses a boun
 ``split`` (to each section the share of its bytes).  Whatever the rule, a document's counts sum to its tokens.
 
 The vocabulary file is a parameter, read on the driver and broadcast (under 2 MB); executors need no file.  Defined
-cases: null and empty texts have one empty section and no tokens; rows repeated with one doc_id are each returned;
-extra columns are ignored.
+cases: null and empty texts have one empty section and no tokens; rows repeated with one doc_id are each returned; very
+long texts reach the encoder in parts cut where no token can cross; without documents nothing is returned; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,10 +46,29 @@ def encoder(raw: bytes, pattern: str = PATTERN) -> tuple:
     return _ENCODERS[key]
 
 
+#: Bytes that are encoded at once; a longer text is cut where its pieces can't depend on the other side.
+PART = 1 << 18
+#: Between a letter and a blank before another letter the pattern always begins a new piece.
+_SAFE = re.compile(rb"(?<=[a-z])(?= [a-z])")
+
+
+def parts(raw: bytes) -> Iterator[bytes]:
+    """Consecutive parts of a text whose tokens are those of the whole text; a part ends at the first safe place after PART bytes."""
+    at = 0
+    while len(raw) - at > PART and (cut := _SAFE.search(raw, at + PART)):
+        yield raw[at : cut.start()]
+        at = cut.start()
+    yield raw[at:]
+
+
+def count_tokens(raw: bytes, vocabulary: tuple) -> int:
+    return sum(len(vocabulary[0].encode_ordinary(x.decode())) for x in parts(raw))
+
+
 def token_ends(raw: bytes, vocabulary: tuple) -> np.ndarray:
     """Ends, in bytes, of the tokens of a text."""
     encoding, lens = vocabulary
-    return np.cumsum(lens[np.asarray(encoding.encode_ordinary(raw.decode()), np.int64)])
+    return np.cumsum(np.concatenate([lens[np.asarray(encoding.encode_ordinary(x.decode()), np.int64)] for x in parts(raw)]))
 
 
 def attribute(ends: np.ndarray, cuts: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:

@@ -11,9 +11,8 @@ those that each text holds.  Feature choice, folds and iterations are determinis
 Defined cases: null and empty texts get the probabilities of a text without known words; unlabelled texts are only
 scored; labels repeated for an id count once (their greatest value), and so does one of its texts (the one with the
 greatest hash); without labels of both kinds a category's probability is its smoothed share; without documents nothing
-is returned; rows repeated with one doc_id are each returned; extra columns are ignored by ``score`` and kept, whatever
-their names, by ``reject_toxic``, which keeps rows with a null doc_id and, of a repeated doc_id, drops every row if one
-of its texts is toxic.
+is returned; rows with a null or repeated doc_id are each judged by their own text; extra columns are ignored by ``score``
+and kept, whatever their names, by ``reject_toxic``.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepforge.llm import rolling
-from stepforge.llm.common import fresh, stored, table
+from stepforge.llm.common import stored, table
 
 MAX_ROWS = 8_000
 FEATURES = 1_500
@@ -256,7 +255,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those the chain finds toxic."""
-    own = fresh(docs, "toxic_id")
-    scored = score(docs, train(docs, query_labels(labels))).where("is_toxic = 1").select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(scored, F.col("doc_id") == F.col(own), "left_anti")
+    """docs without the rows whose text the chain finds toxic; rows are filtered where they lie, without a join."""
+    chain = train(docs, query_labels(labels))
+    k = list(chain.categories).index("toxic")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for first, end, data, offsets in rolling.chunks(batch.column(batch.schema.get_field_index("text"))):
+                keep[first:end] = chain.predict(chain.encode(*features(data, offsets), end - first))[:, k] <= chain.thresholds[k]
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -307,6 +307,19 @@ def test_token_counts(spark, docs):
         for i, t, *_ in corpus():
             want[i] += len(token_counts.token_ends((t or "").encode(), encoding))
         assert {r.doc_id: round(r.n, 6) for r in got} == {k: float(v) for k, v in want.items()}
+    # sections against brute force: each token, by its bytes
+    known, lens = encoding
+    for i, t, *_ in corpus()[:10]:
+        raw, at, want, cuts = t.encode(), 0, Counter(), [0, *(m.end() for m in re.finditer(b"\n", t.encode()) if m.end() < len(t.encode()))]
+        for token in known.encode_ordinary(t):
+            share = Counter(max(c for c in range(len(cuts)) if cuts[c] <= b) for b in range(at, at + lens[token]))
+            want[min(share, key=lambda c: (-share[c], c))] += 1
+            at += lens[token]
+        got = {r.section: r.n_tokens for r in token_counts.count(docs.where(F.col("doc_id") == i), "majority").collect()}
+        assert at == len(raw) and got == {c: float(want[c]) for c in range(len(cuts))}
+    long = "lorem ipsum d'or 12 " * 40_000
+    assert len(list(token_counts.parts(long.encode()))) > 2 and len(token_counts.token_ends(long.encode(), encoding)) == len(known.encode_ordinary(long)) == token_counts.count_tokens(long.encode(), encoding)
+    assert token_counts.count(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     counts, touched = token_counts.attribute(np.array([2, 5, 6]), np.array([0, 3]), "majority")
     assert counts.tolist() == [1, 2] and touched.tolist() == [1, 1]
     assert token_counts.attribute(np.array([2, 5, 6]), np.array([0, 3]), "first")[0].tolist() == [2, 1]
@@ -320,13 +333,34 @@ def test_packing(spark, docs, empty):
     assert all(sum(items[i] for i in b) <= c for b, c in zip(bins, caps))
     assert cost <= min(packing.pack(items, sizes)[2] for sizes in ((8192,), (4096, 8192)))
     got = packing.pack_documents(docs, (64, 128)).collect()
-    assert sum(x.length for x in got) == sum(len((t or "").split()) for _, t, *_ in corpus())
+    known = token_counts.encoder(open(token_counts.VOCABULARY, "rb").read())
+    assert sum(x.length for x in got) == sum(len(known[0].encode_ordinary(t or "")) for _, t, *_ in corpus())
     by = Counter()
     for x in got:
         by[x.bin_id] += x.length
         assert x.used <= x.capacity
     assert all(by[x.bin_id] == x.used for x in got)
     assert packing.pack_documents(empty).count() == 0
+    # equal ids, null or not, spread over the shards; ties in length lose nothing
+    same = spark.createDataFrame([(None if i % 2 else 7, "a b c", "x") for i in range(400)], "doc_id long, text string, shard string")
+    got = packing.pack_documents(same, (16, 64), shard_rows=50).collect()
+    assert len(got) == 400 and len({x.bin_id >> 32 for x in got}) == 8
+
+
+def test_packing_is_joint():
+    """Against every vector of opening sizes on small inputs."""
+    from itertools import product
+
+    r = np.random.default_rng(11)
+    for _ in range(20):
+        sizes = (16, 32, 64)
+        items = sorted(r.integers(1, 65, 25).tolist(), reverse=True)
+        best = min(
+            sum(packing.bin_cost(min(s for s in sizes if s >= u)) for u in packing._fill(items, lambda n, left: max(c[0 if n <= 16 else 1 if n <= 32 else 2], n))[1])
+            for c in product(sizes, repeat=3)
+            if c[1] >= 32 and c[2] >= 64
+        )
+        assert packing.pack(items, sizes)[2] <= best * 1.05
 
 
 def test_toxicity(spark):
