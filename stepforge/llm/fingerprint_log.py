@@ -29,7 +29,7 @@ from stepforge.llm.common import remove_path, stored, table, table_path, text_ke
 LENGTH = 50
 GRAM = 8
 MOST = 8192
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 LAST = 2**63 - 1
 FOUND = "doc_id long, s int, e int, h1 long, h2 long"
 CUT = "tk long, n_removed long, kept string, kept_sha256 string"

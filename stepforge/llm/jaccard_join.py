@@ -119,7 +119,7 @@ def _classes(words: int) -> Callable:
                     seen.add(key)
                     held.append(s)
                     size += len(s)
-                    if size > 4_000_000:
+                    if size > 2_000_000:
                         counted(held)
                         held, size = [], 0
             counted(held)

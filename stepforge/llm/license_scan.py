@@ -7,8 +7,8 @@ a merged span counts if it covers enough of the template in not too many words.
 the hash join, so the votes are exact.  The phrases of the base label are templates whose one diagonal must be full.
 
 Defined cases: a null or empty text has no words, no label and score 0; first_word and last_word are null without a
-phrase; rows repeated with one doc_id count as one document (votes of equal diagonals are taken once); a null doc_id
-is a document of its own; extra columns are ignored.
+phrase; every row is a document of its own, whatever its doc_id (null and repeated ones too); without documents nothing
+is returned; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stepforge.llm.common import ascii_lower, table
+from stepforge.llm.common import ascii_lower, stored, table
 
 #: Phrases and labels of the base scan.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -65,46 +65,49 @@ def _template_sql() -> str:
 
 
 def votes(docs: DataFrame) -> DataFrame:
-    """Votes by (doc_id, template, diagonal), and one row with null template for every document."""
+    """Votes by (row, doc_id, template, diagonal), and one row with null template for every document.
+
+    Written once, so that the scan is made once and rows keep their numbers.
+    """
     spark = docs.sparkSession
     t = spark.sql(f"SELECT * FROM {_template_sql()}")
     t = t.withColumn("h", F.xxhash64(*[F.element_at(F.split("gram", " "), i + 1) for i in range(K)]))
-    w = docs.select("doc_id", word_list(F.col("text")).alias("w"))
-    w = w.select("doc_id", "w", F.size("w").cast("long").alias("n_words"), F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - K, F.lit(0)))).alias("pos"))
+    w = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", word_list(F.col("text")).alias("w"))
+    w = w.select("row", "doc_id", "w", F.size("w").cast("long").alias("n_words"), F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - K, F.lit(0)))).alias("pos"))
     parts = [F.get("w", F.col("pos") + i) for i in range(K)]
     found = F.concat_ws(" ", *parts)
-    w = w.select("doc_id", "n_words", "pos", F.xxhash64(*parts).alias("h"), found.alias("found"))
+    w = w.select("row", "doc_id", "n_words", "pos", F.xxhash64(*parts).alias("h"), found.alias("found"))
     joined = w.join(F.broadcast(t), "h", "left").where((F.col("pos") == 0) | F.col("template").isNotNull())
     hit = (F.instr("found", F.col("gram")) == 1) & (F.length("found") == F.length("gram"))
     joined = joined.where((F.col("pos") == 0) | hit)
     keep = [F.when(hit, F.col(c)).alias(c) for c in ("template", "label", "exact", "n_grams", "n_template")]
-    joined = joined.select("doc_id", "n_words", *keep, F.when(hit, F.col("pos") - F.col("tpos")).cast("long").alias("diagonal"), F.when(hit, F.col("tpos")).alias("tpos"))
-    by = joined.groupBy("doc_id", "template", "label", "exact", "n_grams", "n_template", "diagonal")
-    return by.agg(F.max("n_words").alias("n_words"), F.count_distinct("tpos").alias("votes"), F.min("tpos").alias("low"), F.max("tpos").alias("high"))
+    joined = joined.select("row", "doc_id", "n_words", *keep, F.when(hit, F.col("pos") - F.col("tpos")).cast("long").alias("diagonal"), F.when(hit, F.col("tpos")).alias("tpos"))
+    by = joined.groupBy("row", "doc_id", "template", "label", "exact", "n_grams", "n_template", "diagonal")
+    return stored(by.agg(F.max("n_words").alias("n_words"), F.count_distinct("tpos").alias("votes"), F.min("tpos").alias("low"), F.max("tpos").alias("high")), "votes")
 
 
 def spans(voted: DataFrame) -> DataFrame:
-    """Neighbouring diagonals merged: doc_id, template, label, first_word, last_word, covered, verified."""
-    by = Window.partitionBy("doc_id", "template").orderBy("diagonal")
+    """Neighbouring diagonals merged: row, doc_id, template, label, first_word, last_word, covered, verified."""
+    by = Window.partitionBy("row", "template").orderBy("diagonal")
     m = voted.where("not exact").withColumn("gap", F.col("diagonal") - F.lag("diagonal").over(by))
     m = m.withColumn("span", F.sum(F.when(F.col("gap") <= BAND, 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    m = m.groupBy("doc_id", "template", "label", "n_grams", "n_template", "span").agg(
+    m = m.groupBy("row", "doc_id", "template", "label", "n_grams", "n_template", "span").agg(
         F.min(F.col("diagonal") + F.col("low")).alias("first_word"), F.max(F.col("diagonal") + F.col("high") + (K - 1)).alias("last_word"), F.sum("votes").alias("votes")
     )
     covered = F.least(F.col("votes").cast("double") / F.col("n_grams"), F.lit(1.0))
     tight = (F.col("last_word") - F.col("first_word") + 1) <= F.col("n_template") * F.lit(STRETCH)
-    return m.select("doc_id", "template", "label", "first_word", "last_word", covered.alias("covered"), ((covered >= COVERED) & tight).alias("verified"))
+    return m.select("row", "doc_id", "template", "label", "first_word", "last_word", covered.alias("covered"), ((covered >= COVERED) & tight).alias("verified"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each doc_id of docs (doc_id, text)."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs (doc_id, text)."""
     voted = votes(docs)
     full = F.col("exact") & (F.col("votes") == F.col("n_grams"))
     none = F.lit(None)
-    base = voted.select("doc_id", "n_words", F.when(full, F.col("diagonal")).alias("at"), F.when(full, F.col("label")).alias("base"), F.when(full, F.col("label")).alias("any"), F.when(full, 1.0).otherwise(0.0).alias("score"))
-    s = spans(voted).select("doc_id", none.cast("long").alias("n_words"), none.cast("long").alias("at"), none.cast("string").alias("base"), F.when(F.col("verified"), F.col("label")).alias("any"), F.col("covered").alias("score"))
+    base = voted.select("row", "doc_id", "n_words", F.when(full, F.col("diagonal")).alias("at"), F.when(full, F.col("label")).alias("base"), F.when(full, F.col("label")).alias("any"), F.when(full, 1.0).otherwise(0.0).alias("score"))
+    s = spans(voted).select("row", "doc_id", none.cast("long").alias("n_words"), none.cast("long").alias("at"), none.cast("string").alias("base"), F.when(F.col("verified"), F.col("label")).alias("any"), F.col("covered").alias("score"))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    return base.unionByName(s).groupBy("doc_id").agg(
+    return base.unionByName(s).groupBy("row", "doc_id").agg(
         F.max("n_words").alias("n_words"),
         F.count("at").alias("n_base"),
         F.min("at").alias("first_word"),
@@ -112,7 +115,7 @@ def scan(docs: DataFrame) -> DataFrame:
         joined("base").alias("base_labels"),
         joined("any").alias("labels"),
         F.round(F.max("score"), 6).alias("score"),
-    )
+    ).drop("row")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,18 +124,18 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = rf"""
 WITH t AS (SELECT * FROM {_template_sql()}),
-d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
-k AS (SELECT doc_id, i AS pos, array_to_string(w[i + 1 : i + {K}], ' ') AS gram FROM d, LATERAL (SELECT unnest(range(0, len(w) - {K - 1})) AS i)),
-v AS (SELECT doc_id, template, label, exact, n_grams, n_template, pos - tpos AS diagonal, count(DISTINCT tpos) AS votes, min(tpos) AS low, max(tpos) AS high
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+k AS (SELECT rid, i AS pos, array_to_string(w[i + 1 : i + {K}], ' ') AS gram FROM d, LATERAL (SELECT unnest(range(0, len(w) - {K - 1})) AS i)),
+v AS (SELECT rid, template, label, exact, n_grams, n_template, pos - tpos AS diagonal, count(DISTINCT tpos) AS votes, min(tpos) AS low, max(tpos) AS high
   FROM k JOIN t USING (gram) GROUP BY 1, 2, 3, 4, 5, 6, 7),
-g AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {BAND} THEN 0 ELSE 1 END AS brk FROM v WHERE NOT exact),
-c AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM g),
-m AS (SELECT doc_id, label, least(sum(votes)::DOUBLE / any_value(n_grams), 1.0) AS covered, max(diagonal + high + {K - 1}) - min(diagonal + low) + 1 <= any_value(n_template) * {STRETCH} AS tight
-  FROM c GROUP BY doc_id, template, label, span),
-b AS (SELECT doc_id, diagonal AS pos, label AS base, label AS lab, 1.0::DOUBLE AS score FROM v WHERE exact AND votes = n_grams
-  UNION ALL SELECT doc_id, NULL, NULL, CASE WHEN covered >= {COVERED} AND tight THEN label END, covered FROM m),
-r AS (SELECT doc_id, count(pos) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT base, ',' ORDER BY base) AS base_labels, string_agg(DISTINCT lab, ',' ORDER BY lab) AS labels, max(score) AS score FROM b GROUP BY doc_id)
+g AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) <= {BAND} THEN 0 ELSE 1 END AS brk FROM v WHERE NOT exact),
+c AS (SELECT *, sum(brk) OVER (PARTITION BY rid, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM g),
+m AS (SELECT rid, label, least(sum(votes)::DOUBLE / any_value(n_grams), 1.0) AS covered, max(diagonal + high + {K - 1}) - min(diagonal + low) + 1 <= any_value(n_template) * {STRETCH} AS tight
+  FROM c GROUP BY rid, template, label, span),
+b AS (SELECT rid, diagonal AS pos, label AS base, label AS lab, 1.0::DOUBLE AS score FROM v WHERE exact AND votes = n_grams
+  UNION ALL SELECT rid, NULL, NULL, CASE WHEN covered >= {COVERED} AND tight THEN label END, covered FROM m),
+r AS (SELECT rid, count(pos) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT base, ',' ORDER BY base) AS base_labels, string_agg(DISTINCT lab, ',' ORDER BY lab) AS labels, max(score) AS score FROM b GROUP BY rid)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0.0), 6) AS score
-FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+FROM d LEFT JOIN r ON r.rid = d.rid
 """

@@ -1,6 +1,6 @@
 """Vectorised rolling hashes over Arrow text columns.
 
-Everything here runs inside Arrow batches on executors.  A batch is cut into chunks of whole texts (a few MB), and each
+Everything here runs inside Arrow batches on executors.  A batch is cut into chunks of whole texts (1 MB), and each
 chunk is handled by numpy without a Python loop over texts, so memory is bounded by the chunk and the longest text.
 Hashes are polynomials modulo 2**64 with mixed units; wherever an operator's result has to be exact, the candidate
 places that hashes name are compared afterwards on bytes, or by two independent hashes (128 bits).
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}

@@ -27,10 +27,11 @@ def prefix_ranks(text: np.ndarray) -> np.ndarray:
     for i in range(8):
         key <<= np.uint64(8)
         key |= padded[i : i + n + 32]
+    wide = np.int64(n + 40)
     key = _dense(key)
-    key = _dense(key[:-8] * (n + 40) + key[8:])
-    ranks = np.zeros(n + 1, np.int64)
-    ranks[:n] = _dense(key[:n] * (n + 40) + key[15 : n + 15])
+    key = _dense(key[:-8] * wide + key[8:])
+    ranks = np.zeros(n + 1, np.int32)
+    ranks[:n] = _dense(key[:n] * wide + key[15 : n + 15])
     return ranks
 
 
@@ -38,22 +39,22 @@ def _dense(key: np.ndarray) -> np.ndarray:
     """Ranks from 1, equal for equal keys."""
     order = np.argsort(key)
     k = key[order]
-    new = np.ones(len(k), np.int64)
+    new = np.ones(len(k), np.int32)
     new[1:] = k[1:] != k[:-1]
-    ranks = np.empty(len(k), np.int64)
-    ranks[order] = np.cumsum(new)
+    ranks = np.empty(len(k), np.int32)
+    ranks[order] = np.cumsum(new, dtype=np.int32)
     return ranks
 
 
 def cover_ranks(first: np.ndarray, depth: int) -> list[np.ndarray]:
     """Ranks of the cover sample at 31, 62, 124, ... bytes, until ``depth``; 0 stands past the end."""
     n = len(first) - 1
-    at = np.flatnonzero(_IN[np.arange(n) % V])
+    at = np.flatnonzero(np.resize(_IN, n))
     levels, step = [first], V
     while step < depth:
         r = levels[-1]
-        pair = r[at] * (n + 2) + r[np.minimum(at + step, n)]
-        nxt = np.zeros(n + 1, np.int64)
+        pair = r[at] * np.int64(n + 2) + r[np.minimum(at + step, n)]
+        nxt = np.zeros(n + 1, np.int32)
         nxt[at] = _dense(pair)
         levels.append(nxt)
         step *= 2

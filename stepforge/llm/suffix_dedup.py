@@ -32,9 +32,9 @@ LENGTH = 400
 #: Bytes of the grams whose least hash names a bucket.
 GRAM = 64
 #: Different hulls of one bucket that are sorted together; larger buckets are divided by grams shorter than the window by FINER bytes.
-MOST = 4096
+MOST = 2048
 FINER = (48, 6, 0)
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 KEY = ["k1", "k2"]
 RANGES = "g long, k1 long, k2 long, a int, b int, hull long, inner boolean"
 CONTEXTS = "g long, k1 long, k2 long, a int, ctx binary"

@@ -4,8 +4,11 @@
 records that name the response in WARC-Refers-To and keep its target, date, HTTP headers and digests.  Record ids are
 derived from the response's id, so a task that runs again makes the same records.
 
-Defined cases: a null page is an empty one and a null url an empty target; a page without text gives an empty
-conversion record; pages repeated with one id and url share their record ids; extra columns are ignored.
+Pages are read in one pass, in time that grows with their length.  Defined cases: a null page is an empty one and a null
+url an empty target; blanks, line ends and control characters of a target, a record id or a date are percent-encoded,
+and line ends in source headers folded, so none can make a header; a tag or comment that isn't closed takes the rest of
+the page; a page without text gives an empty conversion record; pages repeated with one id and url share their record
+ids; without pages there are no records; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,18 +30,72 @@ SPACE = uuid.UUID("9e3779b9-7f4a-5c15-8ebc-6af09c88c6e3")
 DATE = "2020-01-01T00:00:00Z"
 #: Elements that begin a line of their own.
 BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table td th tr ul title body html".split())
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|</?([a-zA-Z][a-zA-Z0-9]*)(?:\"[^\"]*\"|'[^']*'|[^'\">])*>", re.S | re.I)
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Elements whose content isn't text.
+HIDDEN = frozenset("script style noscript template svg".split())
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
+_STOP = re.compile(r"[\"'>]")
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_CLOSING = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in [*HIDDEN, "title"]}
 _BLANK = re.compile(r"[^\S\n]+")
+_UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 SCHEMA = "page_id long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, payload_digest string, block string, record binary"
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Place after the tag whose inside begins at ``at``; quoted values may hold '>'; a tag that isn't closed takes the rest."""
+    while m := _STOP.search(page, at):
+        if m[0] == ">":
+            return m.end()
+        close = page.find(m[0], m.end())
+        if close < 0:
+            break
+        at = close + 1
+    return len(page)
+
+
+def read_page(page: str) -> tuple[str, str | None, list[str]]:
+    """(visible text, one line for each block element, blanks folded; title; link targets), in one pass over the page."""
+    out, links, title, at, n = [], [], None, 0, len(page)
+    while at < n:
+        i = page.find("<", at)
+        if i < 0:
+            i = n
+        out.append(page[at:i])
+        if i == n:
+            break
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            at = n if end < 0 else end + 3
+        elif page.startswith(("<!", "<?"), i):
+            end = page.find(">", i)
+            at = n if end < 0 else end + 1
+        elif m := _NAME.match(page, i):
+            at, name, opens = _tag_end(page, m.end()), m[1].lower(), page[i + 1] != "/"
+            if name in BLOCKS:
+                out.append("\n")
+            if opens and name == "a":
+                links += [b or c or d or "" for a, b, c, d in _ATTRIBUTE.findall(page[m.end() : at - 1]) if a.lower() == "href"][:1]
+            if opens and (name in HIDDEN or name == "title" and title is None):
+                close = _CLOSING[name].search(page, at)
+                if name == "title":
+                    title = page[at : close.start()] if close else ""
+                else:
+                    at = _tag_end(page, close.end()) if close else n
+        else:
+            out.append("<")
+            at = i + 1
+    lines = (_BLANK.sub(" ", x).strip() for x in html.unescape("".join(out)).split("\n"))
+    one_line = lambda x: " ".join(html.unescape(x).split())
+    return "\n".join(x for x in lines if x), None if title is None else one_line(title), [one_line(x) for x in links]
+
+
 def plain_text(page: str) -> str:
-    """Visible text, one line for each block element, blanks folded."""
-    text = _MARKUP.sub(lambda m: "\n" if m[2] and m[2].lower() in BLOCKS else "", page)
-    lines = (_BLANK.sub(" ", x).strip() for x in html.unescape(text).split("\n"))
-    return "\n".join(x for x in lines if x)
+    return read_page(page)[0]
+
+
+def header_uri(uri: str) -> str:
+    """A target without blanks, line ends and control characters: they are percent-encoded."""
+    return _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", uri)
 
 
 def digest(data: bytes) -> str:
@@ -78,14 +135,16 @@ def derived(page_id: int | None, record_id: str, uri: str, date: str, http: str,
     """The two records (rows of SCHEMA) of one response."""
     raw = payload.encode()
     source_block, source_payload = digest(http.encode() + b"\r\n\r\n" + raw), digest(raw)
-    title = _TITLE.search(payload)
-    fields = [f"source-{k.strip().lower()}: {v.strip()}" for k, _, v in (x.partition(":") for x in http.split("\r\n")[1:]) if v]
-    fields = [f"source-status: {http.split(chr(13))[0]}", *fields, f"source-block-digest: {source_block}", f"source-payload-digest: {source_payload}"]
-    if title:
-        fields.append("title: " + " ".join(html.unescape(title[1]).split()))
-    fields += ["outlink: " + " ".join(html.unescape(a or b or c).split()) for a, b, c in _LINK.findall(payload)]
+    text, title, links = read_page(payload)
+    uri, record_id, date = header_uri(uri), header_uri(record_id), header_uri(date)
+    pairs = [(" ".join(k.split()), " ".join(v.split())) for k, _, v in (x.partition(":") for x in http.split("\r\n")[1:]) if v]
+    fields = [f"source-{k.lower()}: {v}" for k, v in pairs]
+    fields = [f"source-status: {' '.join(http.split(chr(13))[0].split())}", *fields, f"source-block-digest: {source_block}", f"source-payload-digest: {source_payload}"]
+    if title is not None:
+        fields.append("title: " + title)
+    fields += ["outlink: " + x for x in links]
     out = []
-    for kind, content, block in (("metadata", "application/warc-fields", "".join(f"{x}\r\n" for x in fields)), ("conversion", "text/plain; charset=utf-8", plain_text(payload))):
+    for kind, content, block in (("metadata", "application/warc-fields", "".join(f"{x}\r\n" for x in fields)), ("conversion", "text/plain; charset=utf-8", text)):
         data = block.encode()
         own, mark = f"<urn:uuid:{uuid.uuid5(SPACE, f'{kind} {record_id}')}>", digest(data)
         headers = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", record_id), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Block-Digest", mark)]

@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -379,6 +381,65 @@ def test_toxicity(spark):
     assert toxicity.score(df, none).where("is_toxic = 1").count() == 0
 
 
+def test_license_scan_takes_each_row_by_itself(spark, empty):
+    import duckdb
+    import pandas as pd
+
+    rows = [(1, "under the MIT license"), (1, "under the mit license; cc by nc"), (1, "under the MIT license"), (None, "cc-by-nc"), (None, "plain"), (2, None), (3, ""), (4, "mit license " * 30_000 + "all rights reserved")]
+    df = spark.createDataFrame([(*r, 1, "t") for r in rows], "doc_id long, text string, row int, template string")
+    got = license_scan.scan(df).collect()
+    assert key((r.doc_id, r.n_words, r.n_base) for r in got) == key([(1, 4, 1), (1, 7, 2), (1, 4, 1), (None, 3, 1), (None, 1, 0), (2, 0, 0), (3, 0, 0), (4, 60_003, 0)])
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    names = sorted(got[0].asDict())
+    assert key(tuple(r[c] for c in names) for r in got) == key(con.sql(f"SELECT {', '.join(names)} FROM ({license_scan.ORACLE})").fetchall())
+    assert license_scan.scan(empty).count() == 0
+
+
+class Text(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in warc.HIDDEN
+        self.out += ["\n"] * (tag in warc.BLOCKS)
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in warc.HIDDEN
+        self.out += ["\n"] * (tag in warc.BLOCKS)
+
+    def handle_data(self, data):
+        self.out += [data] * (not self.hidden)
+
+
+def test_warc_text_against_a_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.block for r in warc.derive(warc.responses(pages)).where("warc_type = 'conversion'").collect()}
+    for r in pages.collect():
+        p = Text()
+        p.feed(r.html or "")
+        p.close()
+        assert got[r.page_id].split() == "".join(p.out).split()
+
+
+def test_warc_defined_cases(spark):
+    began = time.time()
+    for page in ("<a " * 400_000, "<title>" * 200_000, "<a href='" * 200_000, "<!--" * 300_000, "<script>" * 200_000, "< " * 400_000, "<p>" * 300_000, "</title " * 200_000):
+        warc.read_page(page)
+    assert time.time() - began < 30
+    schema = "page_id long, url string, html string, warc_type string"
+    rows = [(1, "http://a/\r\nWARC-Type: response", "<p>x", "w"), (1, "http://a/\r\nWARC-Type: response", "<p>x", "w"), (None, "u", "<a\nhref = /q?a>b>c<title>q > r</title", "w")]
+    got = warc.derive(warc.responses(spark.createDataFrame(rows, schema))).collect()
+    assert len(got) == 6 and len({r.record_id for r in got}) == 4
+    for r in got:
+        head, block = warc.parse_record(bytes(r.record))
+        assert head["WARC-Type"] == r.warc_type and block.decode() == r.block and head["WARC-Target-URI"] == r.target_uri
+    assert {r.target_uri for r in got} == {"http://a/%0D%0AWARC-Type:%20response", "u"}
+    assert "outlink: /q?a" in next(r.block for r in got if r.page_id is None and r.warc_type == "metadata")
+    assert warc.derive(warc.responses(spark.createDataFrame([], schema))).count() == 0
+
+
 def test_warc(spark):
     rows = [(1, "http://a/", "<html><title>T &amp; U</title><script>x('</p>')</script><p>One <b>two</b><br>three<!-- no --><a href='/l'>link</a>"), (2, None, None), (3, "http://b/", "")]
     got = warc.derive(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
