@@ -10,20 +10,20 @@ STARS = ((0.001, "***"), (0.01, "**"), (0.05, "*"))
 
 
 def signed(x: float | None) -> str:
-    """Two places with a sign; no negative zero."""
+    """Two places with a sign; what rounds to zero has none."""
     if x is None or math.isnan(x):
         return "---"
-    return f"{round(x, 2) + 0.0:+.2f}"
+    return f"{x:+.2f}" if abs(x) >= 0.005 else "0.00"
 
 
 def p_value(p: float | None) -> str:
     if p is None or math.isnan(p):
         return "---"
-    return "<0.01" if p < 0.01 else f"{p:.2f}"
+    return "<0.01" if p < 0.005 else f"{p:.2f}"
 
 
 def stars(p: float | None) -> str:
-    return next((s for level, s in STARS if p is not None and p < level), "")
+    return "" if p is None or math.isnan(p) else next((s for level, s in STARS if p < level), "ns")
 
 
 def latex_table(rows: Iterable[Mapping], caption: str = "", label: str = "") -> str:

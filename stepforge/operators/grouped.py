@@ -8,7 +8,7 @@ from collections import defaultdict
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepforge.functions import answers, text
@@ -160,11 +160,20 @@ def fuzzy_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("conv_id").applyInPandas(run, "conv_id long, turn long, kept boolean")
 
 
+def same_answer(pred: Column, gold: Column) -> Column:
+    @F.pandas_udf("boolean")
+    def same(preds: pd.Series, golds: pd.Series) -> pd.Series:
+        return pd.Series([answers.equal(a, b) for a, b in zip(preds, golds, strict=True)])
+
+    return same(pred, gold)
+
+
 def answer_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixed pairs of answers and whether they are equal."""
-    same = F.udf(answers.equal, "boolean")
-    rows = [("1/2", "0.5"), (r"\frac{3}{4}", "0.75"), ("(1, 2)", "(1,2)"), (r"\{1, 2\}", r"\{2,1\}"), ("[0,1)", "[0,1]"), ("x+1", "1+x"), ("2^10", "1024"), ("yes", "no")]
-    return spark.createDataFrame(rows, "pred string, gold string").withColumn("equal", same("pred", "gold"))
+    """By line number, the lines whose quantity a line, as a fraction, equals the same one times their tax in eighths; each distinct pair is compared once."""
+    rows = table(spark, sf_dir, "lineitem").select("l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.round(F.col("l_tax") * 100).cast("int").alias("t"))
+    pairs = rows.groupBy("l_linenumber", "q", "t").agg(F.count("*").alias("n"))
+    pairs = pairs.withColumn("same", same_answer(F.format_string("\\frac{%d}{%d}", "q", "l_linenumber"), F.format_string("$%d/%d$", F.col("q") * F.col("t"), F.col("l_linenumber") * 8)))
+    return pairs.groupBy("l_linenumber").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).alias("n_equal"))
 
 
 def label_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,4 +181,9 @@ def label_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.verdict(F.col("text")).alias("verdict"), text.token_count(F.col("text")).alias("n_tokens"))
 
 
+ORACLES = {
+    "answer_equivalence": "SELECT l_linenumber, count(*) AS n, CAST(sum(CASE WHEN CAST(l_quantity AS INT) * CAST(round(l_tax * 100) AS INT) = CAST(l_quantity AS INT) * 8 THEN 1 ELSE 0 END) AS BIGINT) AS n_equal FROM lineitem GROUP BY l_linenumber",
+    "label_cascade": r"""SELECT conv_id, turn, CASE WHEN u LIKE '%DISPROVED%' OR u = 'FALSE' THEN '__DISPROVED__' WHEN u LIKE '%PROVED%' OR u = 'TRUE' THEN '__PROVED__' END AS verdict, n_tokens FROM (SELECT conv_id, turn, len(regexp_extract_all(coalesce(text, ''), '\S+'))::BIGINT AS n_tokens,
+  upper(trim(coalesce(list_last(regexp_extract_all(text, '__(?:DIS)?PROVED__')), list_last(regexp_extract_all(text, '(?i)\*\*\s*((?:dis)?proved|true|false)\s*\*\*', 1)), list_last(regexp_extract_all(text, '(?i)conclusion\s*:\s*((?:dis)?proved|true|false)', 1)), list_last(regexp_extract_all(text, '(?i)((?:dis)?proved)', 1))))) AS u FROM conversations)""",
+}
 QUERIES = {f.__name__: f for f in (cycle_breaking, topological_plan, greedy_alignment, fuzzy_trim, answer_equivalence, label_cascade)}

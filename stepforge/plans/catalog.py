@@ -6,10 +6,13 @@ traces, a non-blank line a step.  Only the dialects' ways to split text differ;
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stepforge.plans.stage import once
+
 #: Function words that carry no term.
 STOP = "the of and to in is that for on with as was be by it an or at from this are not have has de la le der die und et en el que"
 ALPHA, BETA, GAMMA, THETA, LAMBDA = 0.001, 0.1, -1.0, 0.02, 0.3
@@ -38,7 +41,8 @@ _SCORES = f"""
 ncon AS (SELECT sample, count(*) AS n_con FROM tcon GROUP BY sample),
 shared AS (SELECT s.sample, s.trace, s.pos, count(*) AS n, count(t.term) AS both_n FROM stepterms s LEFT JOIN tcon t ON t.sample = s.sample AND t.term = s.term GROUP BY s.sample, s.trace, s.pos),
 scored AS (SELECT s.sample, s.trace, s.pos, s.both_n * 1e0 / (s.n + coalesce(c.n_con, 0) - s.both_n) AS score FROM shared s LEFT JOIN ncon c ON c.sample = s.sample),
-z AS (SELECT sample, trace, pos, round(score, 9) AS score, avg(score) OVER (PARTITION BY sample) AS mu, stddev_pop(score) OVER (PARTITION BY sample) AS sd FROM scored),
+spread AS (SELECT sample, avg(score) AS mu, stddev_pop(score) AS sd FROM scored GROUP BY sample),
+z AS (SELECT s.sample, s.trace, s.pos, round(s.score, 9) AS score, m.mu, m.sd FROM scored s JOIN spread m ON m.sample = s.sample),
 lastpos AS (SELECT sample, trace, max(pos) AS lastp FROM lines GROUP BY sample, trace),
 flags AS (SELECT z.sample, z.trace, z.pos, z.score, CASE WHEN sd > 1e-12 AND round((z.score - mu) / sd, 6) < {GAMMA} AND z.pos < l.lastp THEN 1 ELSE 0 END AS dropped
   FROM z JOIN lastpos l ON l.sample = z.sample AND l.trace = z.trace)"""
@@ -92,7 +96,7 @@ QUERIES: dict[str, tuple[str, str, str]] = {
     "bm25_topk": ("lines tokens", "dl AS (SELECT trace, count(*) AS dl FROM tokens WHERE regexp_like(term, '^[a-z]{{2,}}$') GROUP BY trace), tf AS (SELECT trace, term, count(*) AS tf FROM tokens WHERE regexp_like(term, '^[a-z]{{2,}}$') GROUP BY trace, term), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(*) AS f FROM tf GROUP BY term), q AS ({queryterms}), s AS (SELECT q.item_id, tf.trace AS doc_id, round(sum(ln((n - f + 0.5e0) / (f + 0.5e0) + 1) * tf.tf * 2.5e0 / (tf.tf + 1.5e0 * (0.25e0 + 0.75e0 * dl.dl / greatest(avgdl, 1e0)))), 6) AS score FROM q JOIN tf ON tf.term = q.term JOIN df ON df.term = q.term JOIN dl ON dl.trace = tf.trace CROSS JOIN st GROUP BY q.item_id, tf.trace), r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rk FROM s)", "SELECT item_id, doc_id, score, CAST(rk AS BIGINT) AS rk FROM r WHERE rk <= 5"),
     "balanced_sample": ("", "r AS (SELECT d.source, l.quality, d.doc_id, row_number() OVER (PARTITION BY d.source, l.quality ORDER BY md5(concat('42', CAST(d.doc_id AS STRING))), d.doc_id) AS rk FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id)", "SELECT source, quality, doc_id FROM r WHERE rk <= 3"),
     "stratified_split": ("", "r AS (SELECT l.quality, l.doc_id, row_number() OVER (PARTITION BY l.quality ORDER BY md5(concat('7', CAST(l.doc_id AS STRING))), l.doc_id) AS rk, count(*) OVER (PARTITION BY l.quality) AS n FROM {labels} l)", "SELECT doc_id, quality, CASE WHEN rk <= greatest(1, round(n * 0.2e0)) THEN 'test' ELSE 'train' END AS part FROM r"),
-    "round_robin": ("", "r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rk FROM {documents}), o AS (SELECT source, doc_id, row_number() OVER (ORDER BY rk, source) AS place FROM r WHERE rk <= 50)", "SELECT CAST(place AS BIGINT) AS place, source, doc_id FROM o WHERE place <= 100"),
+    "round_robin": ("", "r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rk FROM {documents}), o AS (SELECT source, doc_id, row_number() OVER (ORDER BY rk, source) AS place FROM r WHERE rk <= 100)", "SELECT CAST(place AS BIGINT) AS place, source, doc_id FROM o WHERE place <= 100"),
     "left_default_merge": ("", "", "SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id"),
     "missing_ids": ("", "", "SELECT d.doc_id FROM {documents} d LEFT ANTI JOIN {labels} l ON l.doc_id = d.doc_id"),
     "score_mean_ignore_na": ("", "", "SELECT event_type, count(*) AS n, round(avg(CASE WHEN value > 1 THEN value END), 4) AS mean_value FROM {events} GROUP BY event_type"),
@@ -124,9 +128,31 @@ def render(name: str, dialect: str, sf_dir: str = "") -> str:
     return sql
 
 
+def _once(spark: SparkSession, sql: str) -> str:
+    """Name of a view of the query's rows, computed once."""
+    name = f"stepforge_{uuid.uuid4().hex}"
+    once(spark.sql(sql)).createOrReplaceTempView(name)
+    return name
+
+
+def shared_parts(spark: SparkSession, sql: str, sf_dir: str) -> str:
+    """sql with its texts split and tokenised once, and its step terms counted once, however often it refers to them."""
+    tables = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
+    lines, tokens = (PRELUDE["spark"][n].format(**tables) for n in ("lines", "tokens"))
+    if tokens not in sql:
+        return sql
+    rows = _once(spark, f"WITH {lines} SELECT sample, trace, pos, regexp_extract_all(lower(step), '[\\\\p{{L}}\\\\p{{M}}\\\\p{{N}}_]+', 0) AS t FROM lines")
+    kept = f"lines AS (SELECT sample, trace, pos FROM {rows})", f"tokens AS (SELECT sample, trace, pos, CAST(i AS BIGINT) AS i, term FROM {rows} LATERAL VIEW posexplode(t) x AS i, term)"
+    sql = sql.replace(lines, kept[0]).replace(tokens, kept[1])
+    if _STEPSETS in sql:
+        counted = _once(spark, f"WITH {', '.join(kept)}, {_TERMS.format()}, {_STEPSETS} SELECT * FROM stepterms")
+        sql = sql.replace(_STEPSETS, f"stepterms AS (SELECT * FROM {counted})")
+    return sql
+
+
 def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(render(name, "spark", sf_dir))
+        return spark.sql(shared_parts(spark, render(name, "spark", sf_dir), sf_dir))
 
     run.__name__ = name
     return run

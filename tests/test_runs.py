@@ -28,5 +28,5 @@ def test_remaining(spark):
 def test_report():
     rows = [{"model": "m", "condition": "x", "mean_diff": -0.001, "ci_lo": -0.5, "ci_hi": 0.25, "p": 0.0004, "d": 1.0}, {"model": "n", "condition": "x", "mean_diff": 0.1, "p": 0.2, "d": None}]
     lines = report.latex_table(rows).split("\n")
-    assert r"m & x & $+0.00$ & $-0.50$ & $+0.25$ & $<0.01$ & $+1.00$ & *** \\" in lines
-    assert r"n & x & $+0.10$ & $---$ & $---$ & $0.20$ & $---$ &  \\" in lines and lines.count(r"\midrule") == 2
+    assert r"m & x & $0.00$ & $-0.50$ & $+0.25$ & $<0.01$ & $+1.00$ & *** \\" in lines
+    assert r"n & x & $+0.10$ & $---$ & $---$ & $0.20$ & $---$ & ns \\" in lines and lines.count(r"\midrule") == 2
