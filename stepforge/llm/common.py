@@ -104,4 +104,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = table_path(spark, name)
     df.write.parquet(path)
     free(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stepforge_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes tables written by ``stored`` that no plan reads any more."""
+    for df in tables:
+        if df is not None:
+            remove_path(df.sparkSession, df._stepforge_path)

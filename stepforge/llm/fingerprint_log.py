@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepforge.llm import rolling, windows
-from stepforge.llm.common import remove_path, stored, table, table_path, text_keys
+from stepforge.llm.common import discard, remove_path, stored, table, table_path, text_keys
 
 LENGTH = 50
 GRAM = 8
@@ -107,10 +107,12 @@ class FingerprintLog:
         self.spark, self.length, self.gram, self.fanout, self.most = spark, length, gram, fanout, most
         self.runs: list[tuple[int, str, str]] = []
         self.texts: list[tuple[int, str, str]] = []
+        self.unfinished: list[tuple[int, str, str]] = []
 
     def _write(self, df: DataFrame, key: str, level: int) -> tuple[int, str, str]:
         name, path = f"run_{uuid.uuid4().hex}", table_path(self.spark, "run")
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.unfinished.append((level, name, path))  # until a run is listed; a failed append leaves nothing behind
         df.repartition(key).sortWithinPartitions(key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
         return level, name, path
 
@@ -190,16 +192,18 @@ class FingerprintLog:
             )
         )
         result = stored(result, "removed")
+        discard(older, candidates, found)
         self.runs, self.texts = [*self.runs, run], [*self.texts, new_texts]
         if not last:
             self.runs, self.texts = self._compact(self.runs, "g"), self._compact(self.texts, "tk")
+        self.unfinished = []
         return result
 
     def drop(self) -> None:
-        for _, name, path in [*self.runs, *self.texts]:
-            self.spark.sql(f"DROP TABLE {name}")
+        for name, path in dict.fromkeys((name, path) for _, name, path in [*self.runs, *self.texts, *self.unfinished]):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             remove_path(self.spark, path)
-        self.runs, self.texts = [], []
+        self.runs, self.texts, self.unfinished = [], [], []
 
 
 def dedup(docs: DataFrame, batches: int = 2, length: int = LENGTH, **how: int) -> DataFrame:
@@ -208,15 +212,17 @@ def dedup(docs: DataFrame, batches: int = 2, length: int = LENGTH, **how: int) -
     cuts = docs.agg(F.percentile_approx("doc_id", [(i + 1) / batches for i in range(batches - 1)] or [0.5]).alias("q")).first()["q"] or []
     cuts = sorted(set(cuts[: batches - 1]))
     out, low = None, None
-    for i in range(len(cuts) + 1):
-        part, before = docs, None
-        if low is not None:
-            part, before = part.where(F.col("doc_id").isNull() | (F.col("doc_id") > low)), docs.where(F.col("doc_id") <= low)
-        if i < len(cuts):
-            part, low = part.where(F.col("doc_id") <= cuts[i]), cuts[i]
-        done = log.append(part, before, last=i == len(cuts))
-        out = done if out is None else out.unionByName(done)
-    log.drop()
+    try:
+        for i in range(len(cuts) + 1):
+            part, before = docs, None
+            if low is not None:
+                part, before = part.where(F.col("doc_id").isNull() | (F.col("doc_id") > low)), docs.where(F.col("doc_id") <= low)
+            if i < len(cuts):
+                part, low = part.where(F.col("doc_id") <= cuts[i]), cuts[i]
+            done = log.append(part, before, last=i == len(cuts))
+            out = done if out is None else out.unionByName(done)
+    finally:
+        log.drop()
     return out
 
 

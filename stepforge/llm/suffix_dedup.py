@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepforge.llm import rolling, suffix_array, windows
-from stepforge.llm.common import fresh, stored, table, text_keys
+from stepforge.llm.common import discard, fresh, stored, table, text_keys
 
 LENGTH = 400
 #: Bytes of the grams whose least hash names a bucket.
@@ -206,12 +206,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     ranges = stored(long.select(*KEY, "text").mapInArrow(_ranges(length, gram), RANGES), "ranges")
     place = F.struct(*KEY, "a")
     buckets = ranges.groupBy("g").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.max("inner").alias("inner")).where("p <> q or inner").select("g")
-    judged = _judged(stored(ranges.join(buckets, "g").distinct(), "flagged"), most, False)
+    places = stored(ranges.join(buckets, "g").distinct(), "flagged")
+    discard(ranges)
+    judged = _judged(places, most, False)
     span, part = F.struct(F.col("a").alias("s"), (F.col("b") + length).alias("e")), F.struct("g", "a", "b")
     lists = judged.groupBy(*KEY).agg(*(F.collect_list(F.when(F.col(c), x)).alias(c) for c, x in (("whole", span), ("sort", part), ("hot", part))))
     lists = lists.join(texts, KEY)
     same = (F.col("r.k1") == F.col("l.k1")) & (F.col("r.k2") == F.col("l.k2")) & F.col("r.doc_id").eqNullSafe(F.col("l.doc_id"))
     candidates = stored(long.alias("r").join(lists.alias("l"), same).select("r.k1", "r.k2", "r.text", "l.whole", "l.sort", "l.hot", "l.copies"), "candidates")
+    discard(places)
     contexts = candidates.where("size(sort) > 0").select(*KEY, "text", "sort").mapInArrow(_contexts(length), CONTEXTS)
     spans = None
     hot = candidates.where("size(hot) > 0").select(*KEY, "text", "hot")

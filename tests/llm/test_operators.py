@@ -266,6 +266,38 @@ def test_ann(spark):
     assert ann.nearest(v.where("false"), v.where("false").select("id", "v")).count() == 0
 
 
+def test_ann_of_ties_and_repeated_ids(spark):
+    x = np.random.default_rng(4).standard_normal((30, 8))
+    rows = [(i, x[i % 10].tolist(), "e", 1.0) for i in range(60)] + [(20, x[3].tolist(), "e", 2.0), (20, x[4].tolist(), "e", 3.0), (0, x[5].tolist(), "e", 1.0)]
+    v = ann.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string, square double"))
+    got = ann.nearest(v, v.where("id = 20 and v[0] = " + repr(float(x[0][0]))).select("id", "v"), top=50).collect()
+    every = sorted(((-float(np.dot(x[0], r[1])), r[0]) for r in rows if r[0] != 20), key=lambda t: (round(t[0], 9), t[1]))[:50]
+    assert [(g["rank"], g.vec_id) for g in sorted(got, key=lambda g: g["rank"])] == [(i + 1, t[1]) for i, t in enumerate(every)]
+    index = ann.MultiIndex(np.array([[0, 0], [1, 3], [65535, 0], [7, 65535]], np.uint16))
+    assert index.within(np.array([0, 0], np.uint16), 2)[0].tolist() == [0] and index.within(np.array([0, 0], np.uint16), 3)[0].tolist() == [0, 1]
+
+
+def test_decontamination_of_repeated_rows(spark, empty):
+    item = prose(30, 99)
+    rows = [(1, prose(40, 1) + " " + item, "x", 1), (1, prose(40, 1) + " " + item, "x", 1), (None, item, "y", 2), (2, prose(60, 2), "z", 3), (3, prose(30_000, 3) + " " + item + " " + prose(20_000, 4), "l", 4), (4, "", "q", 1), (5, None, "q", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string, word int")
+    bench = spark.createDataFrame([(7, item, "e"), (7, item, "e"), (8, None, "e"), (9, "", "e")], "item_id long, text string, doc_id string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()} == {(1, 7), (None, 7), (3, 7)}
+    assert decontaminate.matches(docs, bench).count() == 3
+    assert [r.doc_id for r in decontaminate.clean(docs, bench).orderBy("doc_id").collect()] == [2, 4, 5]
+    assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.clean(docs, bench.where("false")).count() == 7
+
+
+def test_empty_tables_and_clashing_columns(spark, empty):
+    assert fingerprint_log.dedup(empty).count() == 0
+    docs = spark.createDataFrame([(1, prose(60, 1), "a", "b", "c"), (2, prose(60, 1), "a", "b", "c")], "doc_id long, text string, tk string, g string, first string")
+    assert [(r.doc_id, r.n_removed) for r in fingerprint_log.dedup(docs.select("doc_id", "text", "tk", "g", "first")).orderBy("doc_id").collect()] == [(1, 0), (2, 60)]
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.score(empty, toxicity.train(empty, toxicity.query_labels(labels))).count() == 0
+    many = docs.union(docs)
+    assert toxicity.score(many, toxicity.train(many, toxicity.query_labels(labels))).count() == 4
+
+
 def test_decontamination(spark, empty):
     item = prose(40, 77)
     words = item.split()
