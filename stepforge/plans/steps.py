@@ -339,6 +339,8 @@ flagged AS (SELECT sample, step, removed_by FROM phased WHERE removed_by IS NOT
 _WORDS = r"""words AS (SELECT conv_id, turn, unnest(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}_]+'), lambda x: regexp_matches(x, '^[a-z]{3,}$'))) AS w FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 tf AS (SELECT conv_id, turn, w, count(*) AS c FROM words GROUP BY ALL)"""
 ORACLES = {
+    "scoring_parts": r"""WITH nb AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^[\s\x0B]+|[\s\x0B]+$', '', 'g') AS t, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^[\s\x0B]+|[\s\x0B]+$', '', 'g')), lambda x: x <> '') AS ls FROM documents),
+ p AS (SELECT doc_id, CASE WHEN len(ls) > 1 THEN ls ELSE list_filter(string_split(regexp_replace(t, '([.!?])[\s\x0B]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') END AS parts FROM nb) SELECT doc_id, len(parts)::BIGINT AS n_parts, md5(array_to_string(parts, '|')) AS parts_md5 FROM p""",
     "trace_steps": f"WITH {_TRACES}, {_BLOCKS} SELECT doc_id, pos::BIGINT AS pos, coalesce(try_cast(nullif(regexp_extract(step, '(?i)^[^0-9a-z]*step[ ]*([0-9]+)', 1), '') AS BIGINT), pos + 1)::BIGINT AS step_number, md5(step) AS step_md5, length(step)::BIGINT AS n_chars FROM blocks",
     "step_basis": rf"WITH {_TRACES}, c AS (SELECT doc_id, count(*) FILTER (regexp_matches(x, '^Step\s*\d+\s*:')) AS m, count(DISTINCT x) FILTER (NOT regexp_matches(x, '^Step\s*\d+\s*:') AND regexp_matches(x, '^\s*\**\s*(?:Final Conclusion|Final Answer|Answer|Conclusion)\s*\**\s*:|__(?:DIS)?PROVED__')) AS e, count(*) AS n FROM (SELECT doc_id, unnest(body) AS x FROM traces) GROUP BY doc_id) SELECT doc_id, CASE WHEN m > 0 THEN m + e ELSE n END::BIGINT AS n_steps, CASE WHEN n = 0 THEN 'empty' WHEN m > 0 THEN 'markers' ELSE 'lines' END AS basis FROM c",
     "trace_readers": rf"""WITH {_TRACES}, {_BLOCKS}, l AS (SELECT doc_id, line, i, max(i) OVER (PARTITION BY doc_id) AS n, regexp_matches(line, '^\s*\**\s*(?:Final Conclusion|Final Answer|Answer|Conclusion)\s*\**\s*:|__(?:DIS)?PROVED__') AS ends, regexp_matches(line, '^\s*\**\s*[Ss]tep\s*\d+\s*\**\s*[:.\-]') AS head FROM flagged),
