@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from stepforge.llm import rolling
-from stepforge.llm.common import components, fresh, stored, table
+from stepforge.llm.common import components, discard, fresh, stored, table
 
 WORDS = 5
 PERCENT = 75
@@ -404,18 +404,22 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
         needed = stored(keys.distinct().join(distinct.select("k1", F.col("doc_id").alias("holder")), "k1"), "needed")
         few = needed.limit(BROADCAST + 1).count() <= BROADCAST
         sets = texts.join(F.broadcast(needed) if few else needed, F.col("doc_id").eqNullSafe(F.col("holder"))).select("k1", "text").mapInArrow(_set_bytes(words), "k1 long, members binary")
-        return stored(sets, "sets")
+        sets = stored(sets, "sets")
+        discard(needed)
+        return sets
 
     def verify(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b): by size, by sketch, and what is left by the sets themselves."""
         near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
         for c in ("a", "b"):
             pairs = pairs.join(distinct.select(F.col("k1").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
-        pairs = stored(pairs.where(near).select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_near(percent), "a long, b long"), "pairs")
-        sets = fetched(pairs.select(F.col("a").alias("k1")).union(pairs.select("b")))
+        kept = stored(pairs.where(near).select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_near(percent), "a long, b long"), "pairs")
+        sets, pairs = fetched(kept.select(F.col("a").alias("k1")).union(kept.select("b"))), kept
         for c, m in (("b", "y"), ("a", "x")):
             pairs = pairs.join(sets.select(F.col("k1").alias(c), F.col("members").alias(m)), c)
-        return stored(pairs.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long"), "edges")
+        edges = stored(pairs.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long"), "edges")
+        discard(kept, sets)
+        return edges
 
     stars = verify(lists.select(F.col("pivot").alias("a"), F.col("k1").alias("b")).distinct())
     roots = stored(components(stars), "roots")
@@ -440,10 +444,12 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     blocks = blocks.select("block.*", (F.floor(F.col("size") / PART_SHINGLES) + 1).alias("parts"))
     chosen = close.join(blocks, ["h", "p", "q"]).withColumn("own", F.pmod(F.xxhash64(F.lit(2), "k1"), F.col("parts")))
     chosen = chosen.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    chosen = chosen.join(fetched(close.select("k1")), "k1")
+    sets = fetched(close.select("k1"))
+    chosen = chosen.join(sets, "k1")
     key = ["h", "p", "q", "r", "s"]
     chosen = chosen.select("h", "p", "q", F.least("own", "other").alias("r"), F.greatest("own", "other").alias("s"), "k1", "root", "n", "sketch", "members")
     more = stored(chosen.repartition(*key).sortWithinPartitions(*key).mapInArrow(_joined(percent), "a long, b long"), "more")
+    discard(lists, open_lists, close, sets, roots, distinct)
     return classes, stars.union(more)
 
 
