@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,6 +98,47 @@ def align(steps: list[tuple[int, int, frozenset]], least: float = 0.4) -> list[i
     return out
 
 
+def align_cited(steps: list[tuple[int, int, frozenset]], least: float = 0.4) -> list[int]:
+    """Number of the node of each (trace, place, tokens), given in order of traces and places: a step joins the best node that
+    holds no step of its trace, by the likest of its members, the likeness being the mean of words and cited facts where
+    either side cites any; nodes are numbered by their members' mean relative place, ties by their first."""
+    cites = [frozenset(t for t in tokens if t.startswith("fact")) for _, _, tokens in steps]
+    last: dict[int, int] = {}
+    for trace, place, _ in steps:
+        last[trace] = max(last.get(trace, 0), place)
+
+    def likeness(i: int, j: int) -> float:
+        words = jaccard(steps[i][2], steps[j][2])
+        return (words + jaccard(cites[i], cites[j])) / 2 if cites[i] or cites[j] else words
+
+    nodes: list[list[int]] = []
+    of = []
+    for i, (trace, _, _) in enumerate(steps):
+        scores = [(max(likeness(i, j) for j in node), -at) for at, node in enumerate(nodes) if all(steps[j][0] != trace for j in node)]
+        score, at = max(scores, default=(0.0, 0))
+        if score < least:
+            at = -len(nodes)
+            nodes.append([])
+        nodes[-at].append(i)
+        of.append(-at)
+    places = [sum(steps[j][1] / last[steps[j][0]] for j in node) / len(node) for node in nodes]
+    rank = {at: n for n, at in enumerate(sorted(range(len(nodes)), key=lambda a: (places[a], a)), 1)}
+    return [rank[at] for at in of]
+
+
+def drop_weakest(edges: list[Edge]) -> list[Edge]:
+    """The most confident edges that have no cycle: the fewest of the least confident go, ties by name (found by halving)."""
+    order = sorted(edges, key=lambda e: (e[2], e[0], e[1]))
+    low, high = 0, len(order)
+    while low < high:
+        mid = (low + high) // 2
+        if find_cycle((a, b) for a, b, _ in order[mid:]):
+            low = mid + 1
+        else:
+            high = mid
+    return order[low:]
+
+
 def trim_restated(steps: list[str], overlap: float = 0.75, ratio: float = 0.95) -> list[bool]:
     """Whether each step stays: it goes if an earlier kept one has nearly the same tokens and wording and it adds no token."""
     kept: list[tuple[str, frozenset]] = []
@@ -116,24 +157,37 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM parquet.`{sf_dir}/events.parquet`) WHERE dst IS NOT NULL AND src <> dst GROUP BY user_id, src, dst""")
 
 
-def cycle_breaking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Acyclic transition graph of each user; a graph has at most as many nodes as there are event types."""
+def kept_edges(edges: DataFrame, group: str, weight: str, choose: Callable[[list[Edge]], list[Edge]]) -> DataFrame:
+    """The edges (src, dst, weight) of each group's graph that ``choose`` keeps.  Graphs come as arrays, many in an Arrow batch."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        left = break_cycles(zip(g.src, g.dst, g.w, strict=True))
-        return pd.DataFrame([(g.user_id.iloc[0], *e) for e in left], columns=["user_id", "src", "dst", "w"])
+    @F.pandas_udf("array<int>")
+    def run(src: pd.Series, dst: pd.Series, w: pd.Series) -> pd.Series:
+        out = []
+        for graph in zip(src, dst, w, strict=True):
+            given = [(a, b, float(x)) for a, b, x in zip(*graph, strict=True)]
+            kept = set(choose(given))
+            out.append([i for i, e in enumerate(given) if e in kept])
+        return pd.Series(out, dtype=object)
 
-    return transitions(spark, sf_dir).groupBy("user_id").applyInPandas(run, "user_id long, src string, dst string, w double")
+    graphs = edges.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("src", "dst", F.col(weight).alias("w")))).alias("e"))
+    rows = graphs.select(group, "e", F.explode(run(F.col("e.src"), F.col("e.dst"), F.col("e.w"))).alias("i"))
+    return rows.select(group, F.get("e", F.col("i")).alias("x")).select(group, "x.src", "x.dst", F.col("x.w").alias(weight))
+
+
+def cycle_breaking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acyclic transition graph of each user; a graph has at most as many nodes as there are event types."""
+    return kept_edges(transitions(spark, sf_dir), "user_id", "w", break_cycles)
 
 
 def topological_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written position of each node of the acyclic graphs."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        order = kahn_order([*g.src, *g.dst], zip(g.src, g.dst, strict=True))
-        return pd.DataFrame({"user_id": g.user_id.iloc[0], "node": order, "position": range(1, len(order) + 1)})
+    @F.pandas_udf("array<string>")
+    def order(src: pd.Series, dst: pd.Series) -> pd.Series:
+        return pd.Series([kahn_order([*a, *b], zip(a, b, strict=True)) for a, b in zip(src, dst, strict=True)], dtype=object)
 
-    return cycle_breaking(spark, sf_dir).groupBy("user_id").applyInPandas(run, "user_id long, node string, position int")
+    graphs = cycle_breaking(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("src", "dst"))).alias("e"))
+    return graphs.select("user_id", F.posexplode(order(F.col("e.src"), F.col("e.dst"))).alias("i", "node")).select("user_id", "node", (F.col("i") + 1).alias("position"))
 
 
 def greedy_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
