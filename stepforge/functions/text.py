@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 PROVED, DISPROVED = "__PROVED__", "__DISPROVED__"
 
 
+# Words that say a verdict.
+DENIED, HELD = "disproved|false|incorrect|refuted", "proved|proven|true|correct|holds"
+
+
 def last_match(c: Column, pattern: str, group: int = 1) -> Column:
     """The last match of a pattern, or null."""
     found = F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
@@ -21,10 +25,16 @@ def normal_label(c: Column) -> Column:
 
 
 def verdict(c: Column) -> Column:
-    """The last verdict token; else a last bold one; else what follows a conclusion mark; else the last mention."""
+    """The last verdict token; else a last bold one; else what follows a conclusion mark; else what the last five lines say, a
+    denial first; else the last word that says it."""
     c = F.coalesce(c, F.lit(""))
-    tries = [last_match(c, r"(__(?:DIS)?PROVED__)"), last_match(c, r"(?i)\*\*\s*((?:dis)?proved|true|false)\s*\*\*"), last_match(c, r"(?i)conclusion\s*:\s*((?:dis)?proved|true|false)"), last_match(c, r"(?i)((?:dis)?proved)")]
-    return normal_label(F.coalesce(*tries))
+    tries = [last_match(c, r"(__(?:DIS)?PROVED__)"), last_match(c, r"(?i)\*\*\s*((?:dis)?proved|true|false)\s*\*\*"), last_match(c, r"(?i)conclusion\s*:\s*((?:dis)?proved|true|false)")]
+    lines = F.filter(F.split(c, "\n"), lambda x: (F.trim(x) != "") & ~x.contains("[Step"))
+    tail = F.array_join(F.slice(lines, F.greatest(F.size(lines) - 4, F.lit(1)), 5), " ")
+    denied, held = (rf"(?i)\b(?:{w})\b" for w in (DENIED, HELD))
+    last = last_match(c, rf"(?i)\b({DENIED}|hypothesis is not|{HELD})\b")
+    said = F.when(tail.rlike(denied), DISPROVED).when(tail.rlike(held), PROVED).when(last.rlike(denied) | last.rlike("(?i) not$"), DISPROVED).when(last.isNotNull(), PROVED)
+    return F.coalesce(normal_label(F.coalesce(*tries)), said)
 
 
 def boxed(c: Column) -> Column:
@@ -33,8 +43,10 @@ def boxed(c: Column) -> Column:
 
 
 def final_answer(c: Column) -> Column:
-    """Boxed content, else what follows ####, else what follows 'answer is'."""
-    return F.coalesce(boxed(c), F.trim(last_match(c, r"####\s*([^\n]+)")), F.trim(last_match(c, r"(?i)answer\s+is\s*:?\s*([^\n.]+)")))
+    """Boxed content, without thousands commas unless it is a tuple, an interval or a set; else what follows ####, else what follows 'answer is'."""
+    box = F.trim(boxed(c))
+    box = F.when(box.rlike(r"[(\[]|\\\{"), box).otherwise(F.regexp_replace(box, r"(?<=\d),(?=\d{3}(?!\d))", ""))
+    return F.coalesce(box, F.trim(last_match(c, r"####\s*([^\n]+)")), F.trim(last_match(c, r"(?i)answer\s+is\s*:?\s*([^\n.]+)")))
 
 
 def token_count(c: Column) -> Column:

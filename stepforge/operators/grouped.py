@@ -237,7 +237,11 @@ def label_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES = {
     "answer_equivalence": "SELECT l_linenumber, count(*) AS n, CAST(sum(CASE WHEN CAST(l_quantity AS INT) * CAST(round(l_tax * 100) AS INT) = CAST(l_quantity AS INT) * 8 THEN 1 ELSE 0 END) AS BIGINT) AS n_equal FROM lineitem GROUP BY l_linenumber",
-    "label_cascade": r"""SELECT conv_id, turn, CASE WHEN u LIKE '%DISPROVED%' OR u = 'FALSE' THEN '__DISPROVED__' WHEN u LIKE '%PROVED%' OR u = 'TRUE' THEN '__PROVED__' END AS verdict, n_tokens FROM (SELECT conv_id, turn, len(regexp_extract_all(coalesce(text, ''), '\S+'))::BIGINT AS n_tokens,
-  upper(trim(coalesce(list_last(regexp_extract_all(text, '__(?:DIS)?PROVED__')), list_last(regexp_extract_all(text, '(?i)\*\*\s*((?:dis)?proved|true|false)\s*\*\*', 1)), list_last(regexp_extract_all(text, '(?i)conclusion\s*:\s*((?:dis)?proved|true|false)', 1)), list_last(regexp_extract_all(text, '(?i)((?:dis)?proved)', 1))))) AS u FROM conversations)""",
+    "label_cascade": r"""WITH t AS (SELECT *, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '' AND NOT contains(x, '[Step')) AS ls, coalesce(list_last(regexp_extract_all(text, '__(?:DIS)?PROVED__')),
+  list_last(regexp_extract_all(text, '(?i)\*\*\s*((?:dis)?proved|true|false)\s*\*\*', 1)), list_last(regexp_extract_all(text, '(?i)conclusion\s*:\s*((?:dis)?proved|true|false)', 1))) AS u FROM conversations),
+ w AS (SELECT *, array_to_string(list_slice(ls, greatest(len(ls) - 4, 1), len(ls)), ' ') AS tail, lower(list_last(regexp_extract_all(text, '(?i)\b(disproved|false|incorrect|refuted|hypothesis is not|proved|proven|true|correct|holds)\b', 1))) AS word FROM t)
+ SELECT conv_id, turn, CASE WHEN upper(u) LIKE '%DISPROVED%' OR upper(u) = 'FALSE' THEN '__DISPROVED__' WHEN u IS NOT NULL THEN '__PROVED__' WHEN regexp_matches(tail, '(?i)\b(disproved|false|incorrect|refuted)\b') THEN '__DISPROVED__'
+  WHEN regexp_matches(tail, '(?i)\b(proved|proven|true|correct|holds)\b') THEN '__PROVED__' WHEN word IN ('disproved', 'false', 'incorrect', 'refuted', 'hypothesis is not') THEN '__DISPROVED__' WHEN word IS NOT NULL THEN '__PROVED__' END AS verdict,
+  len(regexp_extract_all(coalesce(text, ''), '\S+'))::BIGINT AS n_tokens FROM w""",
 }
 QUERIES = {f.__name__: f for f in (cycle_breaking, topological_plan, greedy_alignment, fuzzy_trim, answer_equivalence, label_cascade)}
