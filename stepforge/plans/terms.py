@@ -8,12 +8,14 @@ never parse a text.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepforge.functions import equations
 from stepforge.functions.words import ALIGN_STOP, COMMON_LOGICAL, LOGICAL, OVERLAP_STOP
-from stepforge.plans.stage import once
+from stepforge.plans.stage import discard, kept, near
 from stepforge.sources.tables import table
 
 ALPHA, BETA, GAMMA = 0.001, 0.05, -1.0
@@ -22,9 +24,11 @@ CORE, TOP, MIN_TF, MIN_IDF, TOP_K, SEMANTIC, HINT = 0.3, 20, 0.001, 0.1, 10, 0.3
 
 def worked_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sample, trace, step, body, kind)."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_suppkey", "l_quantity", "l_returnflag")))  # a line number may stand twice
+    flag = F.col("l_returnflag")
+    side = F.when(flag < "A", 0).when(flag == "A", 1).when(flag > "A", 2)  # the least flag is an A if the least side is 1; numbers are summed up by hash
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.min("l_quantity").alias("l_quantity"), F.min(side).alias("side"))  # a line number may stand twice
     q, n = F.col("l_quantity").cast("int"), F.col("l_linenumber")
-    p = q * n + F.when(F.col("l_returnflag") == "A", 1).otherwise(0)
+    p = q * n + F.when(F.col("side") == 1, 1).otherwise(0)
     ways = [
         F.format_string("Multiply $%d \\cdot %d = %d$ to get the area of the garden", q, n, p),
         F.format_string("We substitute %d*%d = %d into the formula", n, q, p),
@@ -32,7 +36,7 @@ def worked_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string("Consider the red garden and the price of $%d = 7", q),
     ]
     kind = (F.col("l_orderkey") + n) % 4
-    return lines.select(F.col("l_suppkey").alias("sample"), F.col("l_orderkey").alias("trace"), n.cast("long").alias("step"), F.element_at(F.array(*ways), (kind + 1).cast("int")).alias("body"), kind.alias("kind"))
+    return lines.select(F.col("l_suppkey").alias("sample"), F.col("l_orderkey").alias("trace"), n.cast("long").alias("step"), reduce(lambda c, i: c.when(kind == i, ways[i]), range(1, len(ways)), F.when(kind == 0, ways[0])).alias("body"), kind.alias("kind"))
 
 
 _WORKED = """w AS (SELECT l_suppkey AS sample, l_orderkey AS trace, l_linenumber::BIGINT AS step, l_quantity::INT AS q, l_linenumber AS n, l_returnflag AS f, (l_orderkey + l_linenumber) % 4 AS kind, l_quantity::INT * l_linenumber + CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS p
@@ -56,32 +60,69 @@ def equation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("kind").agg(F.sum("k").alias("n_equations"), F.count_if(F.col("ok")).alias("n_hold"), F.count_if(~F.col("ok")).alias("n_fail"), F.count_if(F.col("ok").isNull()).alias("n_none"))
 
 
-def consensus(terms: DataFrame, n_steps: DataFrame) -> DataFrame:
-    """(sample, term): the terms of a sample whose mean frequency over its traces, times the log of how rare their steps are,
-    is above ALPHA, and that stand in a share of BETA of its steps.  ``terms`` has a row and count c for each (sample, trace, step, term)."""
-    by_trace = terms.groupBy("sample", "trace", "term").agg(F.sum("c").alias("c"), F.count("*").alias("s"))
-    totals = by_trace.groupBy("sample", "trace").agg(F.sum("c").alias("all"))
-    tf = by_trace.join(totals, ["sample", "trace"]).groupBy("sample", "term").agg(F.sum(F.col("c") / F.col("all")).alias("tf"), F.sum("s").alias("s"))
+def _texts(steps: DataFrame) -> tuple[DataFrame, int]:
+    """(text, body, holds, all, terms) of each distinct body, and their weight in bytes: terms has (id, c) for each distinct
+    token and all their sum.  A body is tokenised once, however many steps hold it."""
+    found = kept(steps.select("body").distinct().select(F.monotonically_increasing_id().alias("text"), "body", equations.math_tokens(F.col("body")).alias("t"), equations.checked(equations.equations(F.col("body"))).alias("holds")))
+    words = kept(found.select(F.explode("t").alias("term")).distinct().select(F.monotonically_increasing_id().alias("id"), "term"))
+    held = found.select("text", F.explode("t").alias("term")).groupBy("text", "term").agg(F.count("*").alias("c")).join(words, "term")
+    held = held.groupBy("text").agg(F.collect_list(F.struct("id", "c")).alias("terms"))
+    none = F.array().cast("array<struct<id:bigint,c:bigint>>")
+    texts = kept(found.join(held, "text", "left").select("text", "body", "holds", F.size("t").alias("all"), F.coalesce("terms", none).alias("terms")))
+    discard(found, words)
+    return texts, texts.agg(F.sum(64 + F.octet_length("body") + 24 * F.size("terms"))).first()[0] or 0
+
+
+def _core(placed: DataFrame, texts: DataFrame) -> tuple[DataFrame, int]:
+    """(sample, core), and their weight in bytes: the terms of a sample whose mean frequency over its traces, times the log of
+    how rare their steps are, is above ALPHA, and that stand in a share of BETA of its steps."""
+    totals = kept(placed.groupBy("sample").agg(F.count("*").alias("n_steps"), F.count_if("new").alias("k")))
+    used = placed.join(texts.select("text", "terms"), "text").select("sample", "all", F.explode("terms").alias("x"))
+    tf = used.groupBy("sample", F.col("x.id").alias("id")).agg(F.sum(F.col("x.c") / F.col("all")).alias("tf"), F.count("*").alias("s"))
     rf = F.col("s") / F.col("n_steps")
-    return tf.join(n_steps, "sample").where((F.round(F.col("tf") / F.col("k") * F.log(1 / rf), 9) > ALPHA) & (F.round(rf, 9) >= BETA)).select("sample", "term")
+    con = tf.join(near(totals, 24 * totals.count()), "sample").where((F.round(F.try_divide("tf", "k") * F.log(1 / rf), 9) > ALPHA) & (F.round(rf, 9) >= BETA))
+    con = con.groupBy("sample").agg(F.collect_list("id").alias("core"))
+    core = kept(totals.join(con, "sample", "left").select("sample", F.coalesce("core", F.array().cast("array<bigint>")).alias("core")))
+    discard(totals)
+    return core, core.agg(F.sum(64 + 8 * F.size("core"))).first()[0] or 0
+
+
+def step_filter(steps: DataFrame) -> DataFrame:
+    """The step filter of mathematical traces (N-05) over steps (sample, trace, step, body): a step's score is the Jaccard
+    similarity of its tokens and its sample's consensus terms; with two scored steps and a spread, a step whose z-score is
+    below GAMMA goes, unless its equations hold.
+
+    What is kept between the passes is small: a row for each step with the number of its text, in the order of samples, so
+    that sums by sample and term shrink before they are shuffled; then a row for each score of a sample.  Steps without
+    a sample, and in the counts those without a trace or number, are left out.
+    """
+    steps = kept(steps.select("sample", "trace", "step", F.coalesce("body", F.lit("")).alias("body")))
+    texts, weight = _texts(steps)
+    trace = Window.partitionBy("sample", "trace")
+    rows = steps.join(near(texts.select("text", "body", F.col("all").alias("own")), weight), "body").repartitionByRange("sample", "trace")
+    rows = rows.withColumns({"all": F.sum("own").over(trace), "place": F.row_number().over(trace.orderBy("step"))})
+    named = F.col("trace").isNotNull()
+    placed = kept(rows.select("sample", "text", "all", (named & (F.col("place") == 1)).alias("new"), (named & F.col("step").isNotNull()).alias("named")))
+    discard(steps)
+    texts = near(texts, weight)
+    core, weight = _core(placed, texts)
+    both, ids = F.size(F.array_intersect("core", "ids")), F.size("ids")
+    scored = placed.join(near(core, weight), "sample").join(texts.select("text", "holds", F.col("terms.id").alias("ids")), "text").where(ids > 0)
+    scored = scored.select("sample", "holds", "named", F.round(both / (ids + F.size("core") - both), 9).alias("score"))
+    scores = kept(scored.groupBy("sample", "holds", "score").agg(F.count("*").alias("n"), F.count_if("named").alias("m")))
+    discard(placed, core)
+    own, n = Window.partitionBy("sample"), F.col("n")
+    out = scores.withColumn("all", F.sum(n).over(own)).withColumn("mu", F.sum(n * F.col("score")).over(own) / F.col("all"))
+    out = out.withColumn("sd", F.sqrt(F.sum(n * (F.col("score") - F.col("mu")) * (F.col("score") - F.col("mu"))).over(own) / F.col("all")))
+    low = (F.col("all") > 1) & (F.col("sd") > 1e-12) & (F.round((F.col("score") - F.col("mu")) / F.col("sd"), 6) < GAMMA)
+    out = out.select("sample", "m", low.alias("low"), (low & ~F.coalesce("holds", F.lit(False))).alias("gone"))
+    counts = {"n_scored": F.lit(True), "n_low": F.col("low"), "n_dropped": F.col("gone")}
+    return out.groupBy("sample").agg(*(F.sum(F.when(c, F.col("m")).otherwise(0)).alias(k) for k, c in counts.items())).where("n_scored > 0")
 
 
 def math_step_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The step filter of mathematical traces (N-05): a step's score is the Jaccard similarity of its tokens and its sample's
-    consensus terms; with two scored steps and a spread, a step whose z-score is below GAMMA goes, unless its equations hold.
-    Texts are tokenised once."""
-    steps = once(worked_steps(spark, sf_dir).select("sample", "trace", "step", equations.math_tokens(F.col("body")).alias("t"), equations.checked(equations.equations(F.col("body"))).alias("holds")))
-    terms = steps.select("sample", "trace", "step", "holds", F.explode("t").alias("term")).groupBy("sample", "trace", "step", "holds", "term").agg(F.count("*").alias("c"))
-    n_steps = steps.groupBy("sample").agg(F.count("*").alias("n_steps"), F.count_distinct("trace").alias("k"))
-    con = consensus(terms, n_steps)
-    sizes = n_steps.join(con.groupBy("sample").agg(F.count("*").alias("n_con")), "sample", "left")
-    shared = terms.join(con.withColumn("core", F.lit(1)), ["sample", "term"], "left").groupBy("sample", "trace", "step", "holds").agg(F.count("*").alias("n"), F.count("core").alias("both"))
-    union = F.col("n") + F.coalesce("n_con", F.lit(0)) - F.col("both")
-    scored = shared.join(sizes, "sample").select("sample", "trace", "step", "holds", F.round(F.col("both") / union, 9).alias("score"))
-    spread = scored.groupBy("sample").agg(F.avg("score").alias("mu"), F.stddev_pop("score").alias("sd"), F.count("*").alias("n"))
-    low = (F.col("n") > 1) & (F.col("sd") > 1e-12) & (F.round((F.col("score") - F.col("mu")) / F.col("sd"), 6) < GAMMA)
-    out = scored.join(spread, "sample").withColumn("low", low)
-    return out.groupBy("sample").agg(F.count("*").alias("n_scored"), F.count_if("low").alias("n_low"), F.count_if(F.col("low") & ~F.coalesce("holds", F.lit(False))).alias("n_dropped"))
+    """The mathematical step filter over worked steps, by sample."""
+    return step_filter(worked_steps(spark, sf_dir))
 
 
 def argued_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
