@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepforge.llm.common import stored, table
+from stepforge.llm.common import discard, stored, table
 from stepforge.llm.decontaminate import clean
+from stepforge.llm.fingerprint_log import strip_passages
 from stepforge.llm.jaccard_join import keep_one
 from stepforge.llm.packing import pack_documents
 from stepforge.llm.suffix_dedup import strip_repeats
@@ -27,8 +28,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes covered by a 400-byte string that also starts elsewhere are cut from the texts."""
-    return strip_repeats(docs)
+    """Bytes covered by a 400-byte string that also starts elsewhere are cut from the texts; of what is left, words covered by 50
+    that also stand in a document with a smaller doc_id, as most passages of so many words are shorter than 400 bytes."""
+    left = strip_repeats(docs)
+    cut = stored(left, "stripped")
+    discard(*left._stepforge_read)
+    return strip_passages(cut)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

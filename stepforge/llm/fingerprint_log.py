@@ -15,6 +15,7 @@ never remove each other; texts under ``length`` words stay whole; extra columns
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepforge.llm import rolling, windows
-from stepforge.llm.common import discard, remove_path, stored, table, table_path, text_keys
+from stepforge.llm.common import discard, fresh, remove_path, stored, table, table_path, text_keys
 
 LENGTH = 50
 GRAM = 8
@@ -100,6 +101,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["tk", "n_removed", "kept", "kept_sha256"])
 
 
+def _cut_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, spans of words) to the texts without these words and the white space behind them."""
+    for batch in batches:
+        out = []
+        for doc, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            raw = text.encode()
+            begin = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)] + [len(raw)]
+            kept, at = [], 0
+            for a, b in rolling.merged(np.array([x["s"] for x in spans]), np.array([x["e"] for x in spans])):
+                kept.append(raw[at : begin[a]])
+                at = begin[b]
+            out.append((doc, b"".join([*kept, raw[at:]]).decode()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.string()), strict=True)], names=["doc_id", "kept"])
+
+
 class FingerprintLog:
     """Runs are (level, table name, path) of fingerprints; ``texts`` likewise of text hashes."""
 
@@ -130,12 +147,9 @@ class FingerprintLog:
                 remove_path(self.spark, path)
         return runs
 
-    def append(self, batch: DataFrame, history: DataFrame | None = None, last: bool = False) -> DataFrame:
-        """Adds batch (doc_id, text) and returns doc_id, n_words, n_removed, kept_sha256, kept for its rows.
-
-        history: the documents of earlier batches, from which texts of matching entries are read for verification.
-        last: no batch follows, so compaction is left out.
-        """
+    def find(self, batch: DataFrame, history: DataFrame | None = None) -> tuple:
+        """Adds batch (doc_id, text) to the runs; returns the first holders of texts, candidates (doc_id, text, tk), their spans
+        (doc_id and an array of s, e in words), the new runs and the tables that the spans are read from."""
         L = self.length
         tk = text_keys(F.col("text"))[0]
 
@@ -176,7 +190,17 @@ class FingerprintLog:
         met = found.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.collect_list(F.struct("doc_id", "s", "e")).alias("at")).where("size(at) > 1")
         met = met.select("least", F.explode("at").alias("x")).where("x.doc_id > least").select("x.*")
         spans = found.where("h1 is null").select("doc_id", "s", "e").union(met).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-        cut = candidates.select("doc_id", "tk", "text").distinct().join(spans, "doc_id").select("tk", "text", "spans").mapInArrow(_cut, CUT)
+        return first, candidates.select("doc_id", "tk", "text").distinct(), spans, run, new_texts, [older, candidates, found]
+
+    def append(self, batch: DataFrame, history: DataFrame | None = None, last: bool = False) -> DataFrame:
+        """Adds batch (doc_id, text) and returns doc_id, n_words, n_removed, kept_sha256 for its rows.
+
+        history: the documents of earlier batches, from which texts of matching entries are read for verification.
+        last: no batch follows, so compaction is left out.
+        """
+        L, tk = self.length, text_keys(F.col("text"))[0]
+        first, candidates, spans, run, new_texts, read = self.find(batch, history)
+        cut = candidates.join(spans, "doc_id").select("tk", "text", "spans").mapInArrow(_cut, CUT)
         flat = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
         base = batch.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("key"), tk.alias("tk"), flat.alias("flat"))
         base = base.select("doc_id", "key", "tk", F.when(F.col("flat") == "", 0).otherwise(F.length("flat") - F.length(F.replace("flat", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"), F.sha2(F.col("flat").cast("binary"), 256).alias("sha"))
@@ -192,7 +216,7 @@ class FingerprintLog:
             )
         )
         result = stored(result, "removed")
-        discard(older, candidates, found)
+        discard(*read)
         self.runs, self.texts = [*self.runs, run], [*self.texts, new_texts]
         if not last:
             self.runs, self.texts = self._compact(self.runs, "g"), self._compact(self.texts, "tk")
@@ -226,6 +250,39 @@ def dedup(docs: DataFrame, batches: int = 2, length: int = LENGTH, **how: int) -
     return out
 
 
+def strip_passages(docs: DataFrame, length: int = LENGTH, **how: int) -> DataFrame:
+    """docs without the words covered by a window that also starts in a document with a smaller doc_id (null ones last), and
+    the white space behind them; n_chars (if there) counted anew.  Rows of which nothing but white space is left go; other
+    rows stay as they are.  Rows of one doc_id, or of none, with different texts are documents of their own, in any order.
+    """
+    spark, (k1, k2) = docs.sparkSession, text_keys(F.col("text"))
+    row, one, two, kept, first = (fresh(docs, c) for c in ("passage_row", "passage_key1", "passage_key2", "passage_kept", "passage_first"))
+    rows = docs.withColumns({row: F.col("doc_id").cast("long"), one: k1, two: k2})
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id IS NULL OR n > 1").limit(1).count():
+        order = [F.asc_nulls_last("doc_id"), F.asc("k1"), F.asc("k2")]
+        ids = docs.select("doc_id", k1.alias("k1"), k2.alias("k2")).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+        ids = stored(ids.select(F.monotonically_increasing_id().alias("row"), "doc_id", "k1", "k2"), "rows")
+        same = (F.col(f"r.{one}") == F.col("i.k1")) & (F.col(f"r.{two}") == F.col("i.k2")) & F.col("r.doc_id").eqNullSafe(F.col("i.doc_id"))
+        rows = rows.alias("r").join(ids.alias("i"), same).select(*(f"r.{c}" for c in docs.columns), F.col("i.row").alias(row), f"r.{one}", f"r.{two}")
+    log = FingerprintLog(spark, length, **how)
+    try:
+        named = rows.select(F.col(row).alias("doc_id"), "text")
+        _, candidates, spans, _, _, read = log.find(named)
+        cuts = stored(candidates.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(_cut_bytes, "doc_id long, kept string"), "cuts")
+        discard(*read)
+    finally:
+        log.drop()
+    copies = rows.groupBy(one, two).agg(F.min(row).alias(first), F.count("*").alias("n")).where("n > 1").drop("n")
+    flat = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    rows = rows.join(cuts.select(F.col("doc_id").alias(row), F.col("kept").alias(kept)), row, "left").join(copies, [one, two], "left")
+    whole = (F.col(row) > F.col(first)) & (F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1 >= length)
+    rows = rows.where(~F.coalesce(whole, F.lit(False)) & (F.col(kept).isNull() | F.col(kept).rlike(r"[^\x20\x09-\x0D]")))
+    rows = rows.withColumn("text", F.coalesce(kept, "text"))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return rows.select(*docs.columns)
+
+
 def op10_fingerprint_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the first two batches' runs are compacted; the third one is joined with the compacted run
     return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), batches=3)

@@ -84,6 +84,20 @@ def test_repeated_passages(spark, sf):
     assert out.where("doc_id = 103").first().text.strip().endswith("end")
 
 
+def test_repeated_passages_of_fewer_bytes(spark):
+    """60 short words, under 400 bytes, stay with the least doc_id only; documents without an id are separate; 49 words stay."""
+    passage, some = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(49))
+    texts = [(1, f"one\n{passage} end"), (2, f"{passage}\ntwo  lines\n"), (3, f"a b\t{passage}"), (4, passage), (None, f"five {passage} six"), (None, f"seven {passage}  eight"), (None, None), (8, f"{some} x"), (9, f"y {some}"), (9, f"z\n\n{some}"), (10, "")]
+    docs = spark.createDataFrame([(i, t, len(t or ""), "k") for i, t in texts], "doc_id long, text string, n_chars long, k1 string")
+    want = Counter([(1, texts[0][1]), (2, "two  lines\n"), (3, "a b\t"), (None, "five six"), (None, "seven eight"), (None, None), *texts[7:]])
+    out = corpus_pipeline.repeated_passages(spark, docs, "")
+    assert out.columns == docs.columns and pairs(out) == want
+    assert out.where("n_chars <> coalesce(length(text), 0)").count() == 0
+    unique = docs.where("doc_id <> 9")
+    assert pairs(corpus_pipeline.repeated_passages(spark, unique, "")) == Counter({k: n for k, n in want.items() if k[0] not in (None, 9)})
+    assert corpus_pipeline.repeated_passages(spark, docs.where("false"), "").count() == 0
+
+
 def test_benchmark_leaks(spark, sf):
     docs = read(spark, sf)
     out = corpus_pipeline.benchmark_leaks(spark, docs, sf)
