@@ -11,13 +11,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stepforge.plans import texts
 from stepforge.plans.stage import once
 
 #: Function words that carry no term.
 STOP = "the of and to in is that for on with as was be by it an or at from this are not have has de la le der die und et en el que"
 ALPHA, BETA, GAMMA, THETA, LAMBDA = 0.001, 0.1, -1.0, 0.02, 0.3
 
-_STOP = ", ".join(f"'{w}'" for w in STOP.split())
+_WORDS = tuple(STOP.split())
+_STOP = ", ".join(f"'{w}'" for w in _WORDS)
 PRELUDE = {
     "spark": {
         "lines": r"lines AS (SELECT source AS sample, doc_id AS trace, CAST(p AS BIGINT) AS pos, trim(s) AS step FROM {documents} LATERAL VIEW posexplode(split(text, '\n')) x AS p, s WHERE trim(s) <> '')",
@@ -150,8 +152,16 @@ def shared_parts(spark: SparkSession, sql: str, sf_dir: str) -> str:
     return sql
 
 
+#: Queries with a plan of their own where documents are named apart.
+PLANS: dict[str, Callable[[DataFrame, str], DataFrame]] = {
+    "step_zscore_filter": lambda docs, sf_dir: texts.step_zscore_filter(docs, _WORDS, ALPHA, BETA, GAMMA),
+}
+
+
 def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if name in PLANS and texts.named_apart(docs := texts.documents(spark, sf_dir)):
+            return PLANS[name](docs, sf_dir)
         return spark.sql(shared_parts(spark, render(name, "spark", sf_dir), sf_dir))
 
     run.__name__ = name
