@@ -287,12 +287,12 @@ def polish_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conclusion_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later lines of a document that conclude what an earlier one did, by a normalised key of their last clause (D-06, D-07)."""
-    line = F.regexp_replace(F.lower("line"), r"^\s+|\s+$", "")
-    clause = F.regexp_extract(line, r"([^.!?]+)[.!?]?$", 1)
+    line = F.regexp_replace(F.lower("line"), r"^\s+|(?<!\s)\s++\z", "")
+    clause = F.regexp_extract(line, r"(?<![^.!?])([^.!?]++)[.!?]?\z", 1)  # each clause is read once
     key = F.trim(F.regexp_replace(F.regexp_replace(clause, r"(?<=^|\s)(?:so|thus|hence|therefore|then|we|have|the|a|an)(?=\s|$)", " "), r"[^\p{L}\p{M}\p{N}]+", " "))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", F.col("pos").cast("long").alias("pos"), key.alias("k")).where("length(k) >= 4")
-    first = rows.groupBy("doc_id", "k").agg(F.min("pos").alias("source_pos"))
-    return rows.join(first, ["doc_id", "k"]).where("source_pos < pos").select("doc_id", "pos", "source_pos")
+    rows = rows.select("doc_id", "pos", F.xxhash64("k").alias("h"), F.xxhash64(F.lit(0x5EED), "k").alias("g"))  # 128 bits name a key
+    return rows.withColumn("source_pos", F.min("pos").over(Window.partitionBy("doc_id", "h", "g"))).where("source_pos < pos").select("doc_id", "pos", "source_pos")
 
 
 def alias_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
