@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stepforge.plans.flags import flagger, rebuilder, weigher
+from stepforge.plans.stage import SENT, kept, near
 from stepforge.sources.tables import table
 
 HEADER = r"^\s*\**\s*[Ss]tep\s*\d+\s*\**\s*[:.\-]"
@@ -140,12 +142,13 @@ def key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("rk", rank).where("rk <= 10").select("conv_id", "turn", "term", "n", F.col("rk").cast("long").alias("rk"))
 
 
-def cited_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sample, step, body, mode): the lines of an order as steps that cite others."""
+def cited_steps(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """(sample, step, body, mode): the lines of an order as steps that cite others; ``whole``: an order's in one partition, by one shuffle."""
     mode = F.element_at(F.array(*map(F.lit, MODES)), (F.col("l_suppkey") % len(MODES) + 1).cast("int"))
     again = F.when(F.col("l_returnflag") == "R", F.concat(F.lit(" with step "), "l_linenumber")).otherwise(F.lit(""))
     body = F.concat(F.lit("By Step "), F.col("l_partkey") % 7 + 1, F.lit(" and Fact "), F.col("l_suppkey") % 4 + 1, again, F.lit(", it is "), mode)
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_returnflag", "l_quantity")))  # a line number may stand twice
+    lines = table(spark, sf_dir, "lineitem")
+    lines = (lines.repartition("l_orderkey") if whole else lines).groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_returnflag", "l_quantity")))  # a line number may stand twice
     return lines.select(F.col("l_orderkey").alias("sample"), F.col("l_linenumber").cast("long").alias("step"), body.alias("body"), mode.alias("mode"), "l_returnflag", "l_quantity")
 
 
@@ -232,28 +235,44 @@ WEAK = 0.05
 def filtered_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps that a phase flags, with the first phase that does: structure, then a weak edge into the step, then
     arithmetic, which also rescues what holds; the last step of a sample always stays (N-11, N-13)."""
-    return flagged(cited_steps(spark, sf_dir))
+    return flagged(cited_steps(spark, sf_dir, whole=True))
+
+
+def _with_cites(steps: DataFrame) -> DataFrame:
+    """Steps in whole samples, in order, with what each body cites; a body is read once, however many steps hold it."""
+    found = F.transform(F.regexp_extract_all("body", F.lit(CITATION), F.lit(0)), lambda m: F.struct((F.lower(F.substring(m, 1, 4)) == "fact").alias("fact"), F.regexp_extract(m, r"\d+", 0).try_cast("long").alias("n")))
+    cites = F.array_distinct(F.filter(found, lambda x: x["n"].isNotNull()))
+    texts = kept(steps.select("body").distinct().where("body is not null").select("body", cites.alias("cites")))
+    weight = texts.agg(F.sum(64 + F.octet_length("body") + 16 * F.size("cites"))).first()[0] or 0
+    holds = F.when(F.col("l_quantity") % 5 == 0, True).when(F.col("l_quantity") % 7 == 0, False)
+    rows = steps.where("sample is not null").select("sample", "step", "body", "mode", holds.alias("holds")).join(near(texts, weight), "body", "left")
+    return (rows if weight <= SENT else rows.repartition("sample")).sortWithinPartitions("sample", "step")
+
+
+def _weak(rows: DataFrame) -> set[tuple[bool, int, int]]:
+    """Edges of too little weight (``edge_weights``): one for a pair of step numbers or facts."""
+    kinds = rows.select("sample", "step", "mode", "cites").mapInArrow(weigher, "fact boolean, n long, step long, a string, b string, frequency long")
+    kinds = kept(kinds.groupBy("fact", "n", "step", "a", "b").agg(F.sum("frequency").alias("frequency")))
+    k = kinds.where("fact is null").agg(F.sum("frequency")).first()[0]
+    a, b = (F.array_distinct(F.split(F.lower(c), " ")) for c in "ab")
+    shared = F.coalesce(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)), F.lit(0.0))
+    w = F.sum(F.col("frequency") * ((1 - LAMBDA) * CONFIDENCE + LAMBDA * shared))
+    weak = kinds.where("fact is not null").groupBy("fact", "n", "step").agg(w.alias("w")).where(F.round(F.col("w") / max(k or 0, 1), 4) < WEAK)
+    return {(r.fact, r.n, r.step) for r in weak.collect()}
 
 
 def flagged(steps: DataFrame) -> DataFrame:
-    weak = graph_edges(steps).join(edge_weights(steps), ["src", "dst"], "left").where(F.coalesce("w", F.lit(0.0)) < WEAK)
-    phases = anomalies(steps).select("sample", "step", F.lit(0).alias("phase"))
-    phases = phases.unionByName(weak.select("sample", F.substring("dst", 5, 9).cast("long").alias("step"), F.lit(1).alias("phase")))
-    checked = steps.select("sample", "step", F.when(F.col("l_quantity") % 5 == 0, True).when(F.col("l_quantity") % 7 == 0, False).alias("holds"))
-    phases = phases.unionByName(checked.where("not holds").select("sample", "step", F.lit(2).alias("phase")))
-    first = phases.groupBy("sample", "step").agg(F.min("phase").alias("phase"))
-    last = steps.groupBy("sample").agg(F.max("step").alias("last"))
-    first = first.join(checked, ["sample", "step"]).where("holds is null or not holds").join(last, "sample").where("step < last")
-    return first.select("sample", "step", F.element_at(F.array(F.lit("nodes"), F.lit("edges"), F.lit("math")), F.col("phase") + 1).alias("removed_by"))
+    """The steps must stand in whole samples (``cited_steps``)."""
+    rows = _with_cites(steps)
+    return rows.select("sample", "step", "holds", "cites").mapInArrow(flagger(_weak(rows)), "sample long, step long, removed_by string")
 
 
 def rebuilt_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traces without their flagged steps, written anew, and whether too little of them is left (N-09, N-14)."""
-    steps = cited_steps(spark, sf_dir)
-    left = steps.join(flagged(steps), ["sample", "step"], "left_anti").groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("step", "body"))).alias("s"))
-    counts = steps.groupBy("sample").agg(F.count("*").alias("before"))
-    text = F.array_join(F.transform("s", lambda x: F.concat(F.lit("Step "), x["step"], F.lit(": "), x["body"])), "\n")
-    return counts.join(left, "sample").select("sample", "before", F.size("s").cast("long").alias("after"), ((F.col("before") - F.size("s")) / F.col("before") > 0.3).alias("underthinking"), F.md5(text.cast("binary")).alias("text_md5"))
+    steps = cited_steps(spark, sf_dir, whole=True)
+    rows = _with_cites(steps)
+    left = rows.select("sample", "step", "body", "holds", "cites").mapInArrow(rebuilder(_weak(rows)), "sample long, before long, after long, text_md5 string")
+    return left.select("sample", "before", "after", ((F.col("before") - F.col("after")) / F.col("before") > 0.3).alias("underthinking"), "text_md5")
 
 
 def shared_conclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
