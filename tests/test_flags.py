@@ -18,7 +18,7 @@ def lines(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize(("rows", "sent"), [(1, stage.SENT), (200_000, -1)])
-@pytest.mark.parametrize("name", ["rebuilt_traces"])
+@pytest.mark.parametrize("name", ["filtered_steps", "rebuilt_traces"])
 def test_flags_equal_sql(spark, lines, monkeypatch, name, rows, sent):
     """Lines that stand twice, far, negative and lone numbers; orders are dealt out once, not for every join as before."""
     monkeypatch.setattr(flags, "ROWS", rows)
