@@ -156,6 +156,7 @@ def shared_parts(spark: SparkSession, sql: str, sf_dir: str) -> str:
 PLANS: dict[str, Callable[[DataFrame, str], DataFrame]] = {
     "step_zscore_filter": lambda docs, sf_dir: texts.step_zscore_filter(docs, _WORDS, ALPHA, BETA, GAMMA),
     "filter_stats": lambda docs, sf_dir: texts.filter_stats(docs, _WORDS, ALPHA, BETA, GAMMA),
+    "tfidf_topk_per_sample": lambda docs, sf_dir: texts.tfidf_topk_per_sample(docs, _WORDS),
 }
 
 
