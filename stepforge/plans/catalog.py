@@ -157,6 +157,7 @@ PLANS: dict[str, Callable[[DataFrame, str], DataFrame]] = {
     "step_zscore_filter": lambda docs, sf_dir: texts.step_zscore_filter(docs, _WORDS, ALPHA, BETA, GAMMA),
     "filter_stats": lambda docs, sf_dir: texts.filter_stats(docs, _WORDS, ALPHA, BETA, GAMMA),
     "tfidf_topk_per_sample": lambda docs, sf_dir: texts.tfidf_topk_per_sample(docs, _WORDS),
+    "bm25_topk": lambda docs, sf_dir: texts.bm25_topk(docs, docs.sparkSession.sql(PARTS["spark"]["queryterms"].format(benchmark=f"parquet.`{sf_dir}/benchmark.parquet`"))),
 }
 
 
