@@ -6,6 +6,7 @@ import difflib
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,29 +99,40 @@ def align(steps: list[tuple[int, int, frozenset]], least: float = 0.4) -> list[i
     return out
 
 
+@lru_cache(1 << 16)
+def _likeness(a: frozenset, b: frozenset) -> float:
+    words = jaccard(a, b)
+    x, y = (frozenset(t for t in tokens if t.startswith("fact")) for tokens in (a, b))
+    return (words + jaccard(x, y)) / 2 if x or y else words
+
+
 def align_cited(steps: list[tuple[int, int, frozenset]], least: float = 0.4) -> list[int]:
     """Number of the node of each (trace, place, tokens), given in order of traces and places: a step joins the best node that
     holds no step of its trace, by the likest of its members, the likeness being the mean of words and cited facts where
     either side cites any; nodes are numbered by their members' mean relative place, ties by their first."""
-    cites = [frozenset(t for t in tokens if t.startswith("fact")) for _, _, tokens in steps]
     last: dict[int, int] = {}
     for trace, place, _ in steps:
         last[trace] = max(last.get(trace, 0), place)
-
-    def likeness(i: int, j: int) -> float:
-        words = jaccard(steps[i][2], steps[j][2])
-        return (words + jaccard(cites[i], cites[j])) / 2 if cites[i] or cites[j] else words
-
     nodes: list[list[int]] = []
+    sets: list[set[frozenset]] = []  # of each node, its members' distinct token sets
+    newest: list[int] = []  # and the trace of its last member: traces come one after another
     of = []
-    for i, (trace, _, _) in enumerate(steps):
-        scores = [(max(likeness(i, j) for j in node), -at) for at, node in enumerate(nodes) if all(steps[j][0] != trace for j in node)]
-        score, at = max(scores, default=(0.0, 0))
+    for i, (trace, _, tokens) in enumerate(steps):
+        score, at = 0.0, -1
+        for node, held in enumerate(sets):
+            if newest[node] != trace:
+                best = max([_likeness(tokens, x) for x in held])
+                if at < 0 or best > score:
+                    score, at = best, node
         if score < least:
-            at = -len(nodes)
+            at = len(nodes)
             nodes.append([])
-        nodes[-at].append(i)
-        of.append(-at)
+            sets.append(set())
+            newest.append(trace)
+        nodes[at].append(i)
+        sets[at].add(tokens)
+        newest[at] = trace
+        of.append(at)
     places = [sum(steps[j][1] / last[steps[j][0]] for j in node) / len(node) for node in nodes]
     rank = {at: n for n, at in enumerate(sorted(range(len(nodes)), key=lambda a: (places[a], a)), 1)}
     return [rank[at] for at in of]

@@ -6,11 +6,16 @@ Steps are those of ``steps.cited_steps``; a problem is ten orders, each a trace.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepforge.operators.grouped import align_cited, drop_weakest, kept_edges
+from stepforge.plans.flags import whole
+from stepforge.plans.stage import kept, near
 from stepforge.plans.steps import _CITED, cited_steps, edge_weights, graph_edges
 from stepforge.plans.terms import alignment_tokens
 from stepforge.sources.tables import table
@@ -157,13 +162,22 @@ def confidence_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def aligned_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps of a problem's traces that are one node, by their words and the facts they cite, numbered by their mean relative place (G-09)."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["sample", "step"], kind="stable")
-        g["node"] = align_cited([(t, p, frozenset(w)) for t, p, w in zip(g["sample"], g["step"], g.words, strict=True)])
-        return g[["problem", "sample", "step", "node"]]
-
-    steps = _problems(cited_steps(spark, sf_dir)).select("problem", "sample", "step", alignment_tokens(F.col("body")).alias("words"))
-    return steps.groupBy("problem").applyInPandas(run, "problem long, sample long, step long, node int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole(batches, "problem"):
+            words = t.column("words").combine_chunks().dictionary_encode()
+            sets = [frozenset(w.split()) for w in words.dictionary.to_pylist()]
+            rows = list(zip(t.column("sample").to_pylist(), t.column("step").to_pylist(), map(sets.__getitem__, words.indices.to_pylist()), strict=True))
+            at = t.column("problem").to_numpy()
+            ends = [*(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(rows)]
+            nodes = [n for a, b in zip([0, *ends], ends) for n in align_cited(rows[a:b])]  # noqa: B905
+            yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks() for c in ("problem", "sample", "step")] + [pa.array(nodes, pa.int32())], ["problem", "sample", "step", "node"])
+
+    steps = _problems(cited_steps(spark, sf_dir)).select("problem", "sample", "step", "body")
+    words = F.array_join(F.array_sort(alignment_tokens(F.col("body"))), " ")
+    texts = kept(steps.select(F.coalesce("body", F.lit("")).alias("body")).distinct().select("body", words.alias("words")))  # a body is read once, however many steps hold it
+    weight = texts.agg(F.sum(64 + F.octet_length("body") + F.octet_length("words"))).first()[0] or 0
+    steps = steps.withColumn("body", F.coalesce("body", F.lit(""))).join(near(texts, weight), "body").select("problem", "sample", "step", "words")
+    return steps.repartition("problem").sortWithinPartitions("problem", "sample", "step").mapInArrow(run, "problem long, sample long, step long, node int")
 
 
 QUERIES = {f.__name__: f for f in (citation_runs, deduplicated_traces, recheck_gate, consensus_graphs, revoted_labels, confidence_cycles, aligned_steps)}

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,3 +60,30 @@ def test_aligned_by_words_and_facts():
     steps = [(1, 1, s("fact1", "red", "big")), (1, 2, s("fact2", "blue")), (2, 1, s("fact2", "blue")), (2, 2, s("fact1", "red", "old")), (3, 1, s("fact9", "red", "big"))]
     assert grouped.align_cited(steps) == [1, 2, 2, 1, 3]
     assert grouped.align_cited([]) == []
+
+
+def test_align_cited_by_its_definition(spark, monkeypatch):
+    """Each step against every member of every node, as the rule says; likenesses of equal token sets are reckoned once."""
+    r = random.Random(3)
+    words = [frozenset(r.sample(["fact1", "fact2", "red", "slow", "mail", "air"], r.randrange(4))) for _ in range(9)]
+    seen = []
+    monkeypatch.setattr(grouped, "jaccard", lambda a, b, f=grouped.jaccard: seen.append(1) or f(a, b))
+    grouped._likeness.cache_clear()
+    for _ in range(30):
+        steps = [(t, p, r.choice(words)) for t in range(8) for p in range(1, r.randrange(2, 7))]
+        nodes, of = [], []
+        for i, (trace, _, a) in enumerate(steps):
+            best, at = 0.0, len(nodes)
+            for k, node in enumerate(nodes):
+                if all(steps[j][0] != trace for j in node):
+                    likeness = max(grouped._likeness.__wrapped__(a, steps[j][2]) for j in node)
+                    best, at = (likeness, k) if likeness >= 0.4 and likeness > best else (best, at)
+            if at == len(nodes):
+                nodes.append([])
+            nodes[at].append(i)
+            of.append(at)
+        last = {t: max(p for u, p, _ in steps if u == t) for t, _, _ in steps}
+        order = sorted(range(len(nodes)), key=lambda k: (sum(steps[j][1] / last[steps[j][0]] for j in nodes[k]) / len(nodes[k]), k))
+        seen.clear()
+        assert grouped.align_cited(steps) == [order.index(k) + 1 for k in of]
+        assert len(seen) <= 2 * len(words) ** 2
